@@ -1,0 +1,24 @@
+"""One query opN_<name> per corpus operator, over its whole table, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import table
+from .near_dedup import near_duplicates
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents: 3-word shingles, similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
