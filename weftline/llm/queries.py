@@ -7,17 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix
 from .near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+ORACLES["op2_mixing"] = r"""
+with d as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size,
+         md5(concat_ws(':', '42', doc_id::varchar)) as key
+  from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rank from d group by source),
+w as (select *, ((rank - 1) % 3 + 1)::double as weight, source_size::double * 3 as cap from s),
+l as (
+  select *, sum(source_size) over ()::double as total, sum(weight) over () as weights,
+         coalesce(sum(cap) over o, 0.0) as capped, coalesce(sum(weight) over o, 0.0) as used
+  from w window o as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+f as (select first((total - capped) / (weights - used) order by cap / weight, rank) as level from l where cap >= weight * ((total - capped) / (weights - used))),
+t as (select source, rank, source_size, least(cap, weight * level) as target from w, f),
+q as (
+  select d.doc_id, d.source, d.size, d.key, t.rank, t.source_size, t.target,
+         sum(d.size) over (partition by t.rank order by d.key, d.doc_id, d.size rows between unbounded preceding and current row)::bigint as upto
+  from d join t on d.source is not distinct from t.source),
+p as (
+  select q.*, pass, sum(size) over (order by (pass * source_size + upto) / target, rank rows between unbounded preceding and current row) as running
+  from q, (values (0), (1), (2)) as v(pass) where size > 0 and target > 0),
+k as (select doc_id, rank, upto, size * count(*) filter (running <= (select sum(size) from d)) as taken from p group by doc_id, rank, upto, size)
+select q.doc_id, q.source, q.size, q.source_size, q.target, coalesce(k.taken, 0)::bigint as taken
+from q left join k on q.size > 0 and q.doc_id is not distinct from k.doc_id and q.rank = k.rank and q.upto = k.upto
+"""
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source with weights 1, 2, 3 in turn."""
+    return mix(table(spark, sf_dir, "documents"), [1.0, 2.0, 3.0])
+
+
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: 3-word shingles, similarity of 0.85 or more."""
