@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Code points that one vectorised step handles at most, unless a single text is longer.
-CHUNK_CHARS = 1 << 20
+#: Bytes of text that one vectorised step handles at most, unless a single text is longer.
+CHUNK_BYTES = 1 << 18
 
 _own_dir: str | None = None
 
@@ -51,16 +54,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most `limit` code points together, or one longer text."""
-    lo = total = 0
-    for i, text in enumerate(texts):
-        if i > lo and total + len(text) > limit:
-            yield lo, i
-            lo, total = i, 0
-        total += len(text) + 1
-    if lo < len(texts):
-        yield lo, len(texts)
+def chunks(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of Arrow batches with the texts of a column (null as empty).
+
+    A slice holds at most CHUNK_BYTES of text, or one longer text, so a worker's
+    memory does not depend on how many rows Spark puts into a batch.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes + 64)
+        lo = 0
+        while lo < batch.num_rows:
+            base = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, base + CHUNK_BYTES, "right")))
+            part = batch.slice(lo, hi - lo)
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+            lo = hi
 
 
 def n_words(text: Column) -> Column:

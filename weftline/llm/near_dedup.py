@@ -40,37 +40,34 @@ ESTIMATE_SLACK = 0.30
 
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for lo, hi in chunks(texts):
-        words = Words(texts[lo:hi], lower=True)
-        h = words.hashes()
-        runs, at = windows(h, words.doc, width)
-        first = np.searchsorted(at, words.first)
-        for i in range(hi - lo):
-            a, b = words.first[i], words.first[i + 1]
-            if a == b:
-                yield np.zeros(0, np.uint64)
-            elif b - a < width:
-                total = np.uint64(b - a)
-                for x in h[a:b]:
-                    total = np.uint64((int(total) * 0x9E3779B97F4A7C15 + int(x)) & 0xFFFFFFFFFFFFFFFF)
-                yield mix(np.array([total], np.uint64))
-            else:
-                yield np.unique(runs[first[i] : first[i + 1]])
+    words = Words(texts, lower=True)
+    h = words.hashes()
+    runs, at = windows(h, words.doc, width)
+    first = np.searchsorted(at, words.first)
+    for i in range(len(texts)):
+        a, b = words.first[i], words.first[i + 1]
+        if a == b:
+            yield np.zeros(0, np.uint64)
+        elif b - a < width:
+            total = int(b - a)
+            for x in h[a:b].tolist():
+                total = (total * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
+            yield mix(np.array([total], np.uint64))
+        else:
+            yield np.unique(runs[first[i] : first[i + 1]])
 
 
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+        for part, texts in chunks(batches):
             sizes, marks, kept = [], [], []
             for s in shingle_sets(texts, width):
                 sizes.append(len(s))
                 marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 kept.append(s[:k].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-            values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept)))],
                 names=["doc_id", "n_shingles", "signature", "sketch"],
             )
 
@@ -84,9 +81,9 @@ def sketch(docs: DataFrame, width: int = 3, k: int = SKETCH) -> DataFrame:
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["doc_id", "shingles"])
+        for part, texts in chunks(batches):
+            sets = pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), sets], names=["doc_id", "shingles"])
 
     return run
 

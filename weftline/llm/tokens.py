@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 18)
         _powers = tuple(np.concatenate([np.ones(1, _U), np.cumprod(np.full(size - 1, p, _U))]) for p in (_P, _P_INV))
     return _powers
 
