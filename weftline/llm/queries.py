@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, quality
 from .common import table
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -63,3 +63,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: 3-word shingles, similarity of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items of the benchmark."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
