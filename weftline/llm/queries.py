@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, quality, secrets
 from .common import table
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -41,6 +41,42 @@ from q left join k on q.size > 0 and q.doc_id is not distinct from k.doc_id and
 """
 
 
+ORACLES["op9_secrets"] = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+rules as (
+  select * from (values
+    (1, 'assign', '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 12, true),
+    (2, 'access', 'AKIA[A-Z0-9]+', 0, 18, true),
+    (3, 'hex', '[0-9a-f]+', 0, 16, true),
+    (4, 'pem', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----', 0, 1, false)) as v(k, kind, pattern, grp, least, base)),
+m as (
+  select r, k, kind, least, base,
+         case k when 1 then regexp_extract_all(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+                when 2 then regexp_extract_all(text, 'AKIA[A-Z0-9]+') when 3 then regexp_extract_all(text, '[0-9a-f]+')
+                else regexp_extract_all(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----') end as hits,
+         case k when 1 then regexp_extract_all(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)
+                when 2 then regexp_extract_all(text, 'AKIA[A-Z0-9]+') when 3 then regexp_extract_all(text, '[0-9a-f]+')
+                else regexp_extract_all(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----') end as vals,
+         case k when 1 then string_split_regex(text, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+                when 2 then string_split_regex(text, 'AKIA[A-Z0-9]+') when 3 then string_split_regex(text, '[0-9a-f]+')
+                else string_split_regex(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----') end as gaps
+  from d, rules),
+e as (
+  select r, k, kind, least, base, unnest(range(1, len(hits) + 1)) as i, unnest(hits) as hit, unnest(vals) as val, unnest(gaps[1:len(hits)]) as gap
+  from m where len(hits) > 0),
+s as (select *, sum(length(gap) + length(hit)) over (partition by r, k order by i) as stop from e),
+f as (select r, k, kind, base, (stop - length(hit))::bigint as start, stop::bigint as stop from s where length(val) >= least),
+g as (
+  select r, count(*) filter (k = 1) as n_assign, count(*) filter (k = 2) as n_access, count(*) filter (k = 3) as n_hex,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) filter (base), '') as base_spans,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) as spans
+  from f group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (r)
+"""
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -65,6 +101,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, from an empty ledger."""
+    docs = table(spark, sf_dir, "documents")
+    _, findings = secrets.update(docs)
+    return secrets.report(docs, findings)
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all items of the benchmark."""
