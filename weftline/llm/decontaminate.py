@@ -96,9 +96,9 @@ class Index:
         return best if best >= WINDOW - MAX_SUBSTITUTIONS else 0
 
 
-def _find(index: Index):
+def _find(index: Index, column: int, whole_rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, column):
             h, first = _tokens(texts)
             owner = np.repeat(np.arange(len(texts)), np.diff(first))
             found: list[dict[int, int]] = [{} for _ in texts]
@@ -112,35 +112,39 @@ def _find(index: Index):
                         tried.add(key)
                         if n := index.overlap(h[first[d] : first[d + 1]], i, key[2]):
                             found[d][i] = max(n, found[d].get(i, 0))
-            ids = [sorted({int(index.ids[i]) for i in x}) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array([max(x.values(), default=0) for x in found], pa.int64())],
-                names=["doc_id", "item_ids", "matched"],
-            )
+            if whole_rows:
+                yield part.filter(pa.array([not x for x in found], pa.bool_()))
+            else:
+                ids = [sorted({int(index.ids[i]) for i in x}) for x in found]
+                matched = [max(x.values(), default=0) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(matched, pa.int64())], names=["doc_id", "item_ids", "matched"])
 
     return run
 
 
+def _indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The benchmark in blocks of about BLOCK_CHARS characters; one empty block for an empty benchmark."""
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    for k in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect() if total else []
+        yield Index([r[0] for r in block], [r[1] for r in block])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted), matched (agreeing tokens of the best window) for every row of docs (doc_id, text).
 
     benchmark has item_id and text. Null, empty and very short items match
     nothing, nor do null and empty documents; repeated items are reported once
     by item_id, a null item_id is left out. Repeated documents get a row each
-    (one for all if the benchmark needs several blocks).
-    With an empty benchmark no document is contaminated. Other columns are ignored.
+    (one for all if the benchmark needs several blocks). With an empty benchmark
+    no document is contaminated. Other columns are ignored.
     """
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = []
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect() if total else []
-        rows = docs.select("doc_id", "text").mapInArrow(_find(Index([r[0] for r in block], [r[1] for r in block])), f"doc_id {kind}, item_ids array<long>, matched long")
-        parts.append(rows)
+    parts = [docs.select("doc_id", "text").mapInArrow(_find(x, 1, False), f"doc_id {kind}, item_ids array<long>, matched long") for x in _indexes(benchmark)]
     out = parts[0]
-    if blocks > 1:
+    if len(parts) > 1:
         for part in parts[1:]:
             out = out.union(part)
         out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("matched").alias("matched"))
@@ -148,6 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not contaminated, with all their columns."""
-    dirty = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_dirty_id")).distinct()
-    return docs.join(dirty, docs["doc_id"] == dirty["_dirty_id"], "left_anti")
+    """The rows of docs which are not contaminated, with all their columns, whatever their names; nothing is shuffled."""
+    for index in _indexes(benchmark):
+        docs = docs.mapInArrow(_find(index, docs.columns.index("text"), True), docs.schema)
+    return docs
