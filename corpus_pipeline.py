@@ -1,4 +1,62 @@
-STAGES = []
+"""A corpus from documents: quality rules, near-dedup, decontamination, secret redaction, mixing.
+
+Each stage gets what its predecessor kept, is written as Parquet into the shared
+folder and read again, so a lost executor costs one stage's tasks and no more.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, quality, secrets
+from weftline.llm.common import materialise, table
+from weftline.llm.mixing import mix
+from weftline.llm.near_dedup import near_duplicates
+
+#: No SQL expresses the trained model of the first stage; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the model trained on labels of these documents."""
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates (5-word shingles, 0.8)."""
+    gone = near_duplicates(docs, width=5, percent=80).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars set anew where that changes a text."""
+    _, findings = secrets.update(docs)
+    return secrets.redact(docs, materialise(findings, "pipeline-findings"), length="n_chars")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document, with weights 1, 2, 3 by source in turn."""
+    return mix(docs, [1.0, 2.0, 3.0])
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret scan", secret_scan),
+    ("mixing", mixture),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
