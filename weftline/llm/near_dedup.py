@@ -13,8 +13,10 @@ class representatives go on. A list emits each member paired with the list's
 smallest and largest member, so its output is linear in its length. Pairs pass
 a bound on set sizes and the similarity estimated from the union's sketch, and
 are then confirmed on the full shingle sets. Connected components of confirmed
-links follow; lists that still hold several components emit further pairs
-between these, until the links are complete.
+links follow. A list that still holds several components emits further pairs:
+all between different components if it is short, else each member with one of
+the first and of the last component. What can be lost is a document whose only
+link is to a few members of a long list, none of which it meets in a shorter one.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ RUN = 3
 SHORT_LIST = 64
 #: Slack of the estimate below the threshold, in standard deviations of a k-value sketch (about 6).
 ESTIMATE_SLACK = 0.30
+#: Bits of the table of wanted document ids.
+FILTER_BITS = 1 << 24
 
 
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
@@ -79,8 +83,25 @@ def sketch(docs: DataFrame, width: int = 3, k: int = SKETCH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sketches(width, k), "doc_id long, n_shingles long, signature binary, sketch array<long>")
 
 
-def _sets(width: int):
+def _wanted(ids: DataFrame) -> np.ndarray | None:
+    """A bit table of the ids' hashes, of a fixed size for any number of ids; None if there are too many for it to help."""
+    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
+    if ids.count() > FILTER_BITS // 4:
+        return None
+    words = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for at, bits in words:
+        table[at] = bits
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def _sets(width: int, wanted: np.ndarray | None):
+    packed = None if wanted is None else np.packbits(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None if packed is None else np.unpackbits(packed).view(bool)
+        if table is not None:
+            batches = (x.filter(pa.array(table[x.column(2).to_numpy()])) for x in batches)
         for part, texts in chunks(batches):
             sets = pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), sets], names=["doc_id", "shingles"])
@@ -88,6 +109,19 @@ def _sets(width: int):
     return run
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, shingles (sorted hashes) of the documents in ids (doc_id), and perhaps of a few others.
+
+    Texts stay where they are: a bit table of the wanted ids goes to the tasks.
+    Only if the ids are too many for the table are texts shuffled to the ids.
+    """
+    wanted = _wanted(ids)
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")).filter("doc_id is not null")
+    if wanted is None:
+        rows = rows.join(ids, "doc_id", "left_semi")
+    return rows.mapInArrow(_sets(width, wanted), "doc_id long, shingles binary")
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +144,7 @@ def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int,
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
     likely = materialise(both.filter(shared >= (percent / 100 - ESTIMATE_SLACK) * F.size(union)).select("a", "b"), f"{name}-likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary")
+    sets = sets_of(docs, ids, width)
     full = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return materialise(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
 
@@ -150,11 +184,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     classes = slim.filter("signature is not null and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("class_id"))
     members = slim.join(classes, "signature", "left").select("doc_id", "n_shingles", "sketch", F.coalesce("class_id", "doc_id").alias("class_id"))
     members = materialise(members, "near-classes")
-    reps = members.filter("doc_id = class_id and n_shingles > 0").dropDuplicates(["doc_id"])
+    reps = members.filter("doc_id = class_id and n_shingles > 0")
 
     values = F.transform(F.sequence(F.lit(1), F.size("sketch") - (run - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(run)]))
     lists = reps.filter(F.size("sketch") >= run).select(F.explode(F.array_distinct(values)).alias("key"), "doc_id")
-    ends = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("n > 1")
+    ends = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     lists = materialise(lists.join(ends, "key"), "near-lists")
     star = lists.select(F.explode(F.array("lo", "hi")).alias("end"), "doc_id").filter("end <> doc_id")
     pairs = materialise(star.select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct(), "near-pairs")
@@ -163,13 +197,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     # lists that are not of one component yet: pairs between different components
     placed = lists.select("key", "doc_id", "n").join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("key", "doc_id", "n", "c")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min(F.struct("c", "doc_id"))["doc_id"].alias("p"), F.max(F.struct("c", "doc_id"))["doc_id"].alias("q")).filter("c_lo <> c_hi")
+    member = F.struct("c", "doc_id")
+    mixed = placed.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).filter("lo.c <> hi.c")
     placed = materialise(placed.join(mixed, "key"), "near-mixed")
     short = placed.filter(F.col("n") <= SHORT_LIST)
     x, y = short.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), short.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
     crossed = x.join(y, "key").filter("a < b and ca <> cb").select("a", "b")
-    ends = placed.filter(F.col("n") > SHORT_LIST).select("doc_id", "c", F.explode(F.array(F.struct(F.col("p").alias("o"), F.col("c_lo").alias("oc")), F.struct(F.col("q").alias("o"), F.col("c_hi").alias("oc")))).alias("e"))
-    ends = ends.filter("c <> e.oc").select(F.least("doc_id", "e.o").alias("a"), F.greatest("doc_id", "e.o").alias("b"))
+    ends = F.filter(F.array("lo", "hi"), lambda e: e["c"] != F.col("c"))
+    ends = placed.filter(F.col("n") > SHORT_LIST).select("doc_id", F.explode(F.array_distinct(ends)["doc_id"]).alias("end"))
+    ends = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b"))
     more = materialise(crossed.union(ends).distinct().join(pairs, ["a", "b"], "left_anti"), "near-more")
     links = links.union(_linked(more, reps, docs, width, k, percent, "near-2"))
     found = components(links)
