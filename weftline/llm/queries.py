@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, lattice_lm, quality, secrets
 from .common import table
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -101,6 +101,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and base scores of all documents."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, from an empty ledger."""
