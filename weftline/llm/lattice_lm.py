@@ -2,9 +2,11 @@
 
 An existing subword vocabulary spans, for every word, the lattice of all its
 segmentations. Its scores, ranks turned into Zipf weights, start a unigram model
-of pieces; expectation over all words of the training documents, each weighted
-by its count, gives the probabilities. A word's probability is the sum over all
-segmentations, found by a forward recursion in log space, and a text's is the
+of pieces; expectation over all distinct words of the training documents
+gives the probabilities. A word's probability is the sum over all
+segmentations, found by a forward recursion in log space, where a word seen in
+training has one more arc from end to end with its count (Witten-Bell weights
+share the mass between this arc and the pieces). A text's probability is the
 product over its words and one end. Pieces never reach across a gap between
 words, so this equals the recursion over the whole text, and each distinct word
 of the corpus is computed once.
@@ -208,7 +210,7 @@ def _expect(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.log_p))
         for batch in batches:
-            total += lattice.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+            total += lattice.expect(batch.column(0).to_pylist(), np.ones(batch.num_rows))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "n"])
 
@@ -224,7 +226,18 @@ def _score(lattice: Lattice):
 
 
 def _documents(n: int, distinct: int, ends: int, log_end: float):
-    """Scores of a block's documents from the block's own row and its words' counts and scores."""
+    """Scores of a block's documents from the block's own row and its words' counts and scores.
+
+    A word seen in training is one more arc across the lattice, with its count;
+    the segmentations share the weight of the distinct words (Witten and Bell).
+    """
+
+    def whole(c: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        if not distinct:
+            return log_p
+        with np.errstate(divide="ignore"):
+            return (np.logaddexp(np.log(c), np.log(distinct) + log_p * np.log(10)) - np.log(n + distinct)) / np.log(10)
+
     base = lambda c: np.log10((c + SMOOTH) / (n + SMOOTH * (distinct + 1)))
 
     def run(words: pa.Table, block: pa.Table) -> pa.Table:
@@ -244,7 +257,7 @@ def _documents(n: int, distinct: int, ends: int, log_end: float):
             "n_known": total((c > 0).astype(float)).astype(np.int64) + int(ends > 0),
             "train_tokens": np.full(len(lengths), n, np.int64),
             "base_score": total(base(c)) + base(ends),
-            "score": total(log_p) + log_end,
+            "score": total(whole(c, log_p)) + float(whole(np.array(ends), np.array(log_end))),
         })
 
     return run
@@ -271,7 +284,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 1) -> Dat
 
     lattice = Lattice.load(vocabulary)
     for _ in range(rounds):
-        expected = counts.filter("c > 0").select("word", "c").mapInArrow(_expect(lattice), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        expected = counts.filter("c > 0").select("word").mapInArrow(_expect(lattice), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         total = np.full(len(lattice.log_p), SMOOTH)
         for piece, k in expected:
             total[piece] += k
