@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice_lm, quality, secrets
-from .common import table
+from . import decontaminate, lattice_lm, quality, secrets, warc
+from .common import materialise, table
 from .mixing import mix
 from .near_dedup import near_duplicates
 
@@ -77,6 +77,17 @@ from d left join g using (r)
 """
 
 
+ORACLES["op3_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select html, min(page_id) as first, count(*) as n from p group by html),
+h as (select page_id, strlen(html)::bigint as payload_bytes, upper(sha1(html)) as hex, case when page_id is distinct from first then first end as refers_to from p join f using (html)),
+b as (select *, list_transform(range(0, 32), lambda i: (('0x' || hex[(i * 5) // 4 + 1:(i * 5) // 4 + 2])::int >> (3 - (i * 5) % 4)) & 31) as five from h)
+select page_id, payload_bytes, list_aggregate(list_transform(five, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), 'string_agg', '') as payload_digest,
+       case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to
+from b
+"""
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -95,6 +106,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), [1.0, 2.0, 3.0])
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written into bundles and read back."""
+    found = warc.read(materialise(warc.bundles(table(spark, sf_dir, "pages")), "warc-bundles"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents: 3-word shingles, similarity of 0.85 or more."""
