@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlcut, lattice_lm, quality, secrets, warc
+from . import decontaminate, htmlcut, lattice_lm, licences, quality, secrets, warc
 from .common import materialise, table
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -125,6 +125,12 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
