@@ -1,6 +1,9 @@
 """A hashed linear text model: word 1- and 2-grams and character 3-grams, logistic regression, Platt calibration.
 
-A text's vector holds, for each of the three kinds, the share of each bucket
+A model may also see a repetition profile: how many words back each word 2-gram
+occurred before, in powers of two.
+
+A text's vector holds, for each kind, the share of each bucket
 among the text's n-grams of that kind, so its score is a mean of weights and is
 computed for a batch of texts with one gather and prefix sums.
 """
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .tokens import Words, windows
+from .tokens import Words, mix, windows
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -24,7 +27,17 @@ _MASK = np.uint64(BUCKETS - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def buckets(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+def _gaps(pairs: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each 2-gram, 0 if it is new in its text, else 1 and the binary logarithm of its distance to the last one."""
+    own = pairs ^ mix(doc.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(own, kind="stable")
+    out = np.zeros(len(own), np.int32)
+    again = np.flatnonzero(own[order][1:] == own[order][:-1]) + 1
+    out[order[again]] = 1 + np.log2(order[again] - order[again - 1]).astype(np.int32)
+    return out
+
+
+def buckets(words: Words, repeats: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of n-gram: its bucket (kinds have separate ranges), and each text's offset into these."""
     chars = words.chars()
     h = words.hashes(chars)
@@ -37,9 +50,11 @@ def buckets(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     inside = inside[:n] & inside[1 : n + 1] & inside[2 : n + 2]
     upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])
     grams = (grams[inside] >> np.uint64(64 - BITS)).astype(np.int32)
-    return [
+    first = np.searchsorted(at, words.first)
+    profile = [(_gaps(pairs, words.doc[at]) + 3 * BUCKETS, first)] if repeats else []
+    return profile + [
         ((h & _MASK).astype(np.int32), words.first),
-        ((pairs & _MASK).astype(np.int32) + BUCKETS, np.searchsorted(at, words.first)),
+        ((pairs & _MASK).astype(np.int32) + BUCKETS, first),
         (grams + 2 * BUCKETS, upto[np.minimum(bounds, n)]),
     ]
 
@@ -53,9 +68,9 @@ def means(groups: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> n
     return total
 
 
-def vectors(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def vectors(texts: list[str], repeats: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each text's buckets and shares."""
-    groups = buckets(Words(texts))
+    groups = buckets(Words(texts), repeats)
     for i in range(len(texts)):
         parts = [np.unique(index[first[i] : first[i + 1]], return_counts=True) for index, first in groups]
         yield np.concatenate([a for a, _ in parts]).astype(np.int32), np.concatenate([n / max(1, n.sum()) for _, n in parts]).astype(np.float32)
@@ -77,16 +92,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches, 0):
-        found = list(vectors(texts))
-        yield pa.RecordBatch.from_arrays(
-            [part.column(1), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))],
-            names=["target", "buckets", "shares"],
-        )
+def _featurise(repeats: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, 0):
+            found = list(vectors(texts, repeats))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(1), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))],
+                names=["target", "buckets", "shares"],
+            )
+
+    return run
 
 
-def fit(rows: DataFrame, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -> Model | None:
+def fit(rows: DataFrame, repeats: bool = False, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -> Model | None:
     """A calibrated model from rows (text, target in 0..1, fold); the caller bounds the number of rows.
 
     Rows with fold 0 calibrate, the others train. Vectors are made on the
@@ -95,7 +113,7 @@ def fit(rows: DataFrame, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -
     sample = rows.select("text", F.col("target").cast("double").alias("target"), "fold")
     parts = []
     for part in (sample.filter("fold <> 0"), sample.filter("fold = 0")):
-        got = part.select("text", "target").mapInArrow(_featurise, "target double, buckets array<int>, shares array<float>").orderBy("target", F.xxhash64("buckets", "shares")).toArrow()
+        got = part.select("text", "target").mapInArrow(_featurise(repeats), "target double, buckets array<int>, shares array<float>").orderBy("target", F.xxhash64("buckets", "shares")).toArrow()
         index, shares = got.column("buckets").combine_chunks(), got.column("shares").combine_chunks()
         parts.append((got.column("target").to_numpy(), np.diff(index.offsets.to_numpy()), index.flatten().to_numpy(), shares.flatten().to_numpy().astype(np.float64)))
     (y, n, index, share), (cy, cn, cindex, cshare) = parts
@@ -103,10 +121,10 @@ def fit(rows: DataFrame, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -
         return None
     row = np.repeat(np.arange(len(y)), n)
     balance = np.where(y > 0.5, 0.5 / max(1e-9, (y > 0.5).mean()), 0.5 / max(1e-9, (y <= 0.5).mean()))
-    w, b, g2 = np.zeros(3 * BUCKETS), 0.0, np.full(3 * BUCKETS, 1e-8)
+    w, b, g2 = np.zeros(4 * BUCKETS), 0.0, np.full(4 * BUCKETS, 1e-8)
     for _ in range(steps):
         error = balance * (sigmoid(np.bincount(row, w[index] * share, len(y)) + b) - y) / len(y)
-        g = np.bincount(index, error[row] * share, 3 * BUCKETS) + l2 * w
+        g = np.bincount(index, error[row] * share, 4 * BUCKETS) + l2 * w
         g2 += g * g
         w -= rate * g / np.sqrt(g2)
         b -= error.sum()

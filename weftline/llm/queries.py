@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlcut, lattice_lm, licences, quality, secrets, warc
+from . import decontaminate, htmlcut, lattice_lm, licences, quality, secrets, warc, weak
 from .common import materialise, table
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -119,6 +119,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the scorer trained on posterior labels."""
+    docs = table(spark, sf_dir, "documents")
+    return weak.judge(docs, *weak.fit(docs))
+
+
 @query
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice and base scores of all documents."""
