@@ -25,7 +25,8 @@ from .tokens import Words
 
 #: Documents of each posterior class that the scorer is fitted on at most, in the order of a hash.
 SAMPLE_PER_CLASS = 800
-KEEP_AT = 0.5
+#: A document is kept at this probability of good quality or more: low, as very short texts score unsurely.
+KEEP_AT = 0.2
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
 
@@ -48,17 +49,17 @@ def _shares(texts: list[str], words: Words) -> dict[str, np.ndarray]:
         "upper": upper / np.maximum(letter, 1),
         "shouts": per_text(cp == 33) / n,
         "bars": per_text(cp == 124) / n,
-        "lone_marks": per_word((size == 1) & (last < 128) & ~((last >= 48) & (last <= 57)) & ~((last | 32) >= 97)) / n,
+        "lone_marks": per_word((size == 1) & (last < 128) & ~((last >= 48) & (last <= 57)) & ~(((last | 32) >= 97) & ((last | 32) <= 122))) / n,
         "repeated": repeated / n,
         "new_words": np.array([len(set(x)) for x in np.split(words.hashes(), words.first[1:-1])]) / n if len(words) else np.zeros(len(texts)),
         "sentences": per_word(end) / n,
-        "letters": letter / chars,
+        "letters": (letter + per_text((cp >= 48) & (cp <= 57))) / chars,
     }
 
 
 #: Labellers: a share, where it votes for bad, and where for good (None: never).
 LABELLERS = (
-    ("symbols", lambda s: s["symbols"] > 0.5, None),
+    ("symbols", lambda s: s["symbols"] > 0.25, None),
     ("odd_ends", lambda s: s["odd_ends"] > 0.2, None),
     ("upper", lambda s: s["upper"] > 0.5, None),
     ("shouts", lambda s: s["shouts"] > 0.3, None),
@@ -66,8 +67,8 @@ LABELLERS = (
     ("lone_marks", lambda s: s["lone_marks"] > 0.15, None),
     ("repeated", lambda s: s["repeated"] > 0.2, None),
     ("new_words", lambda s: (s["n"] >= 20) & (s["new_words"] < 0.12), lambda s: (s["n"] >= 20) & (s["new_words"] > 0.5)),
-    ("sentences", lambda s: (s["n"] >= 20) & (s["sentences"] < 0.005), lambda s: (s["sentences"] > 0.02) & (s["sentences"] < 0.6)),
-    ("letters", lambda s: s["letters"] < 0.7, lambda s: (s["letters"] > 0.85) & (s["upper"] < 0.3)),
+    ("sentences", lambda s: (s["n"] >= 20) & (s["sentences"] < 0.005), lambda s: (s["sentences"] > 0.02) & (s["sentences"] < 0.6) & (s["new_words"] > 0.3)),
+    ("letters", lambda s: s["letters"] < 0.7, lambda s: (s["letters"] > 0.85) & (s["upper"] < 0.3) & (s["symbols"] < 0.1)),
 )
 
 
@@ -98,11 +99,11 @@ class LabelModel:
     prior: float
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        """Probability of good quality."""
+        """Probability of good quality; abstaining says nothing, so without votes it is the prior."""
         if not len(pattern):
             return np.zeros(0)
         votes = digits(pattern)
-        log = [np.log(self.rates[c][np.arange(votes.shape[1]), votes]).sum(axis=1) for c in (0, 1)]
+        log = [np.where(votes == ABSTAIN, 0.0, np.log(self.rates[c][np.arange(votes.shape[1]), votes])).sum(axis=1) for c in (0, 1)]
         return linear.sigmoid(log[1] - log[0] + np.log(self.prior) - np.log(1 - self.prior))
 
     def accuracies(self) -> dict[str, float]:
