@@ -1,0 +1,97 @@
+"""Keyed aggregations."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import aggregates as a
+
+
+def games(spark):
+    return spark.createDataFrame([(1, 1, 5), (1, 2, 9), (1, 3, 9), (2, 1, 1), (2, 2, 7), (None, 4, 2), (None, 5, None)], "game long, player long, score long")
+
+
+def test_count(spark, rows):
+    assert rows(games(spark).transform(a.count_by(["game"], "n"))) == [(None, 2), (1, 3), (2, 2)]
+    assert rows(games(spark).transform(a.count_by(["game"], "game"))) == [(2,), (2,), (3,)]
+    assert rows(games(spark).transform(a.count_by([], "n"))) == [(7,)]
+
+
+def test_sum_ignores_nulls(spark, rows):
+    assert rows(games(spark).transform(a.sum_by(["game"], "score"))) == [(None, 2), (1, 23), (2, 8)]
+
+
+def test_nothing_in_nothing_out(spark):
+    empty = games(spark).filter("false")
+    for step in (a.count_by([], "n"), a.count_by(["game"]), a.sum_by([], "score"), a.average_by([], "score"), a.first_by([], ["score"]), a.top_n([], "score", 2), a.top_n(["game"], "score", 2), a.term_frequency([], "player"), a.term_frequency(["game"], "player"), a.reduce_runs(["game"], ["player"], [F.count("*").alias("n")])):
+        assert empty.transform(step).count() == 0
+
+
+def test_average_skips_what_is_no_number(spark, rows):
+    df = spark.createDataFrame([("a", "1"), ("a", "x"), ("a", None), ("a", "2.5e0"), ("b", ""), ("b", None), ("c", " 7 ")], "g string, v string")
+    assert rows(df.transform(a.average_by(["g"], "v", "mean"))) == [("a", 1.75), ("c", 7.0)]
+    flags = spark.createDataFrame([("a", True), ("a", False), ("a", None)], "g string, v boolean")
+    assert rows(flags.transform(a.average_by(["g"], "v"))) == [("a", 0.5)]
+    assert df.transform(a.average_by(["g"], "missing")).count() == 0
+
+
+def test_first(spark, rows):
+    assert rows(games(spark).transform(a.first_by(["game"], [F.desc("score"), "player"])), "game", "player") == [(None, 4), (1, 2), (2, 2)]
+
+
+def test_top_n(spark, rows):
+    assert rows(games(spark).transform(a.top_n(["game"], "score", 2, ["player"])), "game", "player") == [(None, 4), (None, 5), (1, 2), (1, 3), (2, 1), (2, 2)]
+    assert rows(games(spark).transform(a.top_n([], "score", 1, [F.desc("player")])), "player") == [(3,)]
+    with pytest.raises(ValueError):
+        a.top_n(["game"], "score", 0)
+
+
+def test_top_n_limits_groups_before_the_shuffle(spark):
+    plan = games(spark).transform(a.top_n(["game"], "score", 2, ["player"]))._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_term_frequency(spark, rows):
+    df = spark.createDataFrame([(1, "a", 9, 1), (1, "b", 8, 2), (1, "a", 7, 3), (2, "c", 6, 4)], "doc long, word string, count long, at long")
+    got = df.transform(a.term_frequency(["doc"], "word"))
+    assert got.columns == ["doc", "word", "tf"]
+    assert rows(got) == [(1, "a", 2 / 3), (1, "b", 1 / 3), (2, "c", 1.0)]
+    carried = df.transform(a.term_frequency(["doc"], "word", carry=["count"], order_by=["at"]))
+    assert rows(carried, "doc", "word", "count") == [(1, "a", 9), (1, "b", 9), (2, "c", 6)]
+    assert rows(df.transform(a.term_frequency([], "word"))) == [("a", 0.5), ("b", 0.25), ("c", 0.25)]
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 256])
+def test_runs(spark, ranges):
+    import random
+
+    rng = random.Random(ranges)
+    keys = [rng.choice(["x", "y", None]) for _ in range(300)]
+    places = sorted(rng.choice([None, *range(60)]) or 0 for _ in keys)
+    df = spark.createDataFrame([(i, float(p), k) for i, (p, k) in enumerate(zip(places, keys, strict=True))], "i long, place double, k string").repartition(5)
+    got = {r["run"]: (r["k"], r["n"], r["first"]) for r in df.transform(a.reduce_runs(["k"], ["place", "i"], [F.count("*").alias("n"), F.min("i").alias("first")], ranges)).collect()}
+    want, last = {}, object()
+    for i, k in enumerate(keys):
+        if k != last:
+            want[len(want) + 1] = (k, 0, i)
+            last = k
+        k, n, first = want[len(want)]
+        want[len(want)] = (k, n + 1, first)
+    assert got == want
+
+
+def test_runs_with_null_places(spark, rows):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "a"), (1.0, 3, "a"), (2.0, 4, "b")], "p double, i long, k string")
+    assert rows(df.transform(a.reduce_runs(["k"], ["p", "i"], [F.count("*").alias("n")])), "run", "k", "n") == [(1, "a", 3), (2, "b", 1)]
+    with pytest.raises(TypeError):
+        df.transform(a.reduce_runs(["k"], ["k"], [F.count("*")]))
+    with pytest.raises(ValueError):
+        a.reduce_runs(["k"], [], [])
+
+
+def test_a_million_rows_with_four_keys(spark, rows):
+    df = spark.range(1_220_000).select((F.col("id") % 4).alias("k"), F.col("id").alias("v"))
+    assert rows(df.transform(a.count_by(["k"], "n"))) == [(k, 305_000) for k in range(4)]
+    assert df.transform(a.top_n(["k"], "v", 5000)).count() == 20_000
+    assert math.isclose(df.transform(a.average_by(["k"], "v")).filter("k = 0").first()["v"], (1_219_996) / 2)

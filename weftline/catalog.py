@@ -207,9 +207,9 @@ def distinct_words_per_document(spark, d):
 @_query("""
 with s as (select event_id, ts, event_type, value, coalesce((lag(event_type) over (order by ts, event_id) is distinct from event_type)::int, 1) as start from events),
 r as (select *, sum(start) over (order by ts, event_id rows unbounded preceding) as run from s)
-select run::bigint as run, event_type, count(*) as n, sum(value) as value from r group by run, event_type""")
+select run::bigint as run, event_type, count(*) as n, round(sum(value), 6) as value from r group by run, event_type""")
 def runs_of_event_types(spark, d):
-    runs = aggregates.reduce_runs(["event_type"], ["ts", "event_id"], [F.count("*").alias("n"), F.sum("value").alias("value")])
+    runs = aggregates.reduce_runs(["event_type"], ["ts", "event_id"], [F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value")])
     return _table(spark, d, "events").transform(runs)
 
 
