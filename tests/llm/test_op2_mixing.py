@@ -1,0 +1,96 @@
+"""Mixing against a plain queue, and against the SQL oracle."""
+
+import hashlib
+import random
+from collections import defaultdict
+from pathlib import Path
+
+import pytest
+
+from weftline.llm.mixing import MAX_PASSES, mix
+from weftline.llm.queries import ORACLES, QUERIES
+
+from ..test_catalog import DATA, compare
+
+
+def targets(sizes, weights):
+    """Share by weight, cap, share the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    cap, total = {s: MAX_PASSES * n for s, n in sizes.items()}, sum(sizes.values())
+    full, target = set(), {}
+    while True:
+        rest, share = total - sum(cap[s] for s in full), sum(weight[s] for s in sizes if s not in full)
+        target = {s: cap[s] if s in full else rest * weight[s] / share for s in sizes}
+        over = {s for s in sizes if s not in full and target[s] > cap[s]}
+        if not over:
+            return target, {s: i for i, s in enumerate(order)}
+        full |= over
+
+
+def plain(rows, weights):
+    sizes = defaultdict(int)
+    for _, source, n in rows:
+        sizes[source] += n
+    target, rank = targets(sizes, weights)
+    key = lambda i: hashlib.md5(f"42:{i}".encode() if i is not None else b"42").hexdigest()
+    items = []
+    for source in sizes:
+        upto = 0
+        own = sorted(((key(i), i, n) for i, s, n in rows if s == source), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2]))
+        for _, i, n in own:
+            upto += n
+            if n and target[source]:
+                items += [((p * sizes[source] + upto) / target[source], rank[source], i, n) for p in range(MAX_PASSES)]
+    items.sort(key=lambda x: x[:2])
+    taken, used = defaultdict(int), 0
+    for _, _, i, n in items:
+        used += n
+        if used > sum(sizes.values()):
+            break
+        taken[i] += n
+    return {i: (s, n, sizes[s], target[s], taken[i]) for i, s, n in rows}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_equals_a_plain_queue(spark, seed):
+    rng = random.Random(seed)
+    sources = ["a", "B", "é", None, "z"][: rng.randint(1, 5)]
+    rows = [(i, rng.choice([*sources, sources[0], sources[0]]), rng.choice([0, 1, 5, 40, 300])) for i in range(150)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string").repartition(3)
+    got = {r["doc_id"]: (r["source"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mix(docs, [1.0, 2.0, 3.0]).collect()}
+    want = plain(rows, [1.0, 2.0, 3.0])
+    assert got.keys() == want.keys()
+    for i, (s, n, of, target, taken) in want.items():
+        assert got[i][:3] == (s, n, of) and got[i][3] == pytest.approx(target) and got[i][4] == taken
+    total = sum(n for _, _, n in rows)
+    assert total - 5 * 300 < sum(x[4] for x in got.values()) <= total
+
+
+def test_a_small_source_stops_at_three_passes(spark):
+    docs = spark.createDataFrame([(1, "a", "w " * 10)] + [(i, "b", "w " * 100) for i in range(2, 12)], "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in mix(docs, [9.0, 1.0]).collect()}
+    assert got[1]["target"] == 30 and got[1]["taken"] == 30 and got[2]["target"] == 980
+
+
+def test_edges(spark):
+    schema = "doc_id long, source string, text string, size int, target string, rank int"
+    docs = spark.createDataFrame([(1, "a", None, 7, "x", 1), (1, "a", "w", 7, "x", 1), (1, "a", "w", 7, "x", 1), (None, None, "v v", 7, "x", 1), (2, "b", "", 7, "x", 1)], schema)
+    got = mix(docs, [1.0, 2.0, 3.0])
+    assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    found = sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["source_size"], round(r["target"], 9)) for r in got.collect())
+    assert found == [("1", "a", 0, 2, 1.0), ("1", "a", 1, 2, 1.0), ("1", "a", 1, 2, 1.0), ("2", "b", 0, 0, 0.0), ("None", "None", 2, 2, 3.0)]
+    assert mix(docs.filter("false"), [1.0]).count() == 0
+    none = mix(docs.filter("text is null or text = ''"), [1.0]).collect()
+    assert [(r["target"], r["taken"]) for r in none] == [(0.0, 0), (0.0, 0)]
+
+
+def test_reruns_agree(spark):
+    docs = spark.createDataFrame([(i, "s" + str(i % 3), "w " * (i % 17)) for i in range(300)], "doc_id long, source string, text string")
+    assert sorted(map(tuple, mix(docs, [1.0, 2.0]).collect())) == sorted(map(tuple, mix(docs.repartition(7), [1.0, 2.0]).collect()))
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables are not here")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_sql(spark, name):
+    compare(spark, name, QUERIES[name], ORACLES[name])
