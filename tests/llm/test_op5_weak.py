@@ -1,0 +1,50 @@
+"""The label model on votes drawn from known accuracies, and the scorer on held-out kinds of text."""
+
+import numpy as np
+
+from weftline.llm import weak
+from weftline.llm.tokens import Words
+
+
+def test_estimates_known_accuracies():
+    rng = np.random.default_rng(2)
+    k, n = len(weak.LABELLERS), 60_000
+    good = rng.random(n) < 0.8
+    accuracy, voting = rng.uniform(0.75, 0.97, k), rng.uniform(0.5, 0.9, k)
+    right = rng.random((n, k)) < accuracy
+    votes = np.where(right == good[:, None], weak.GOOD, weak.BAD)
+    votes = np.where(rng.random((n, k)) < voting, votes, weak.ABSTAIN)
+    pattern, count = np.unique((votes * 3 ** np.arange(k - 1, -1, -1)).sum(axis=1), return_counts=True)
+    model = weak.estimate(pattern, count.astype(float))
+    assert abs(model.prior - 0.8) < 0.03
+    assert np.abs(np.array(list(model.accuracies().values())) - accuracy).max() < 0.04
+    decided = model.posterior((votes * 3 ** np.arange(k - 1, -1, -1)).sum(axis=1)) > 0.5
+    assert (decided == good).mean() > 0.96
+
+
+def test_votes_do_not_depend_on_the_batch(prose):
+    texts = [prose(60, 1), "", "a", prose(40, 2).upper().replace(" ", "!! "), "x | " * 40, "same " * 50, "w### " * 30]
+    whole = weak.vote(texts, Words(texts))
+    assert whole.tolist() == [int(weak.vote([t], Words([t]))[0]) for t in texts]
+    votes = weak.digits(whole)
+    assert (votes[1] == weak.ABSTAIN).all() and not (votes[0] == weak.BAD).any()
+    assert ((votes[3:] == weak.BAD).sum(axis=1) >= 2).all()
+
+
+def test_scores_tell_junk_from_prose(spark, prose):
+    junk = [lambda t: t.upper().replace(" ", "!! "), lambda t: t.replace(" ", " | "), lambda t: t.replace(" ", "### "), lambda t: (t.split(" ")[0] + " ") * 60]
+    rows = [(i, junk[i % 4](prose(60, i)) if i % 5 == 0 else prose(30 + i % 90, i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels, model = weak.fit(docs)
+    got = {r["doc_id"]: r["kept"] for r in weak.judge(docs, labels, model).collect()}
+    wrong = [i for i in got if got[i] != (i % 5 != 0)]
+    assert len(wrong) <= 4
+
+
+def test_edges(spark, prose):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, prose(30_000, 5), 1), (3, prose(30_000, 5), 1), (None, prose(50, 6), 1)], "doc_id long, text string, score int")
+    labels, model = weak.fit(docs)
+    got = sorted((str(r["doc_id"]), r["kept"]) for r in weak.judge(docs, labels, model).collect())
+    assert got == [("1", False), ("2", False), ("3", True), ("3", True), ("None", True)]
+    none = docs.filter("false")
+    assert weak.judge(none, *weak.fit(none)).count() == 0

@@ -177,8 +177,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     `width` words, lower-cased in A-Z. A document with fewer words has its whole
     sequence as one shingle; one without words (or null text) is linked with
     nothing. Rows that repeat a doc_id are one node of the graph and all get its
-    component. A null doc_id can't be linked: its component_id is null and the
-    row is kept. Other columns of docs are ignored. An empty table gives none.
+    component. A null doc_id is no node: its row gets the component of documents
+    with an equal shingle set and is not kept, or if there are none a null
+    component, and is kept. Other columns of docs are ignored. An empty table
+    gives none.
     """
     slim = materialise(sketch(docs, width, k), "near-sketches")
     classes = slim.filter("signature is not null and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("class_id"))
