@@ -1,0 +1,78 @@
+"""Each stage of the pipeline on its predecessor's output, against plain Python."""
+
+import shutil
+from pathlib import Path
+
+import pytest
+
+import corpus_pipeline
+from weftline.llm import quality
+from weftline.llm.common import n_words, shared_dir
+from weftline.llm.mixing import mix
+
+from ..test_catalog import DATA
+from .test_op4_near_dedup import plain as near
+from .test_op9_secrets import plain as secret
+from .test_op10_decontaminate import plain as leaked
+
+pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the test tables are not here")
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        path = f"{shared_dir(spark)}/stage-{name.replace(' ', '-')}"
+        stage(spark, docs, str(DATA)).write.mode("overwrite").parquet(path)
+        out = spark.read.parquet(path)
+        after = {r["doc_id"]: r for r in out.collect()}
+        if name != "mixing":
+            assert out.columns == columns and len(after) == out.count()
+        texts = {i: r["text"] for i, r in before.items()}
+        if name == "quality rules":
+            model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+            assert after.keys() == {r["doc_id"] for r in quality.judge(docs, model).filter("kept").collect()}
+            assert 0.7 * len(before) < len(after) < len(before)
+        elif name == "near-dedup":
+            component = near(list(texts.items()), 5, 80)
+            assert after.keys() == {i for i in texts if component[i] == i} and len(after) < len(before)
+        elif name == "decontamination":
+            assert after.keys() == {i for i, t in texts.items() if not leaked(t, items)} and len(after) < len(before)
+        elif name == "secret scan":
+            assert after.keys() == before.keys()
+            changed = {i for i in after if after[i]["text"] != texts[i]}
+            assert changed == {i for i, t in texts.items() if secret(t)[4]} and changed
+            assert all("[SECRET]" in after[i]["text"] and after[i]["n_chars"] == len(after[i]["text"]) for i in changed)
+            assert all(after[i] == before[i] for i in after if i not in changed)
+        else:
+            assert after.keys() == before.keys()
+            total = sum(r["size"] for r in after.values())
+            assert 0.97 * total < sum(r["taken"] for r in after.values()) <= total
+        docs = out
+    whole = {tuple(r) for r in corpus_pipeline.run(spark, str(DATA)).collect()}
+    assert whole == {tuple(r) for r in docs.collect()}
+
+
+def test_empty_documents(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("false")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_number_of_words(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    texts = [None, "", " ", "a", " a", "a ", " a\tb\x0bc\n", "a\xa0b é"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", n_words(F.col("text")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
+def test_mixing_ignores_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "w w", "k", 1.0)], "doc_id long, source string, text string, key string, cap double")
+    assert mix(docs, [1.0]).first()["taken"] == 2
