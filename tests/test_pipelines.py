@@ -135,3 +135,16 @@ def test_streaming_word_count(spark, rows, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("counted")) == [("moon", 1), ("sun", 2)]
+
+
+@pytest.mark.parametrize("plan", [texts.inverted_index, texts.pmi])
+def test_texts_are_cut_into_words_once(spark, tmp_path, plan):
+    docs(spark).write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = plan(spark.read.parquet(str(tmp_path / "docs")))
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert final.count("Generate explode") == 1 and "ReusedExchange" in final

@@ -25,7 +25,7 @@ def split(text: Column, separator: str | None = None) -> Column:
     (one empty part for an empty text).
     """
     if separator is None:
-        return F.filter(F.split(text, WHITESPACE), lambda x: x != "")
+        return F.array_remove(F.split(text, WHITESPACE), "")
     if separator == "":
         return F.split(text, "")
     quoted = re.sub(r"([^\w\s])", r"\\\1", separator)

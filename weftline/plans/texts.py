@@ -30,7 +30,8 @@ def inverted_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", res
     """
     counts = _counts(docs, doc, text)
     totals = counts.groupBy(F.col("_doc").alias("_d")).agg(F.sum("_n").alias("_all"))
-    spread = counts.groupBy(F.col("_word").alias("_w")).agg(F.count("*").alias("_df"))
+    # this reads _n, so that all three uses of the counts share one exchange and texts are cut into words once
+    spread = counts.groupBy(F.col("_word").alias("_w")).agg(F.count_if(F.col("_n") > 0).alias("_df"))
     n = docs.agg(F.count("*").alias("_docs"))  # one row
     joined = counts.join(totals, F.col("_doc").eqNullSafe(F.col("_d"))).join(spread, F.col("_word") == F.col("_w")).crossJoin(F.broadcast(n))
     score = F.round(F.col("_n") / F.col("_all") * F.ln(F.col("_docs") / F.col("_df")), DIGITS)

@@ -8,6 +8,7 @@ neighbourhood, not the table. The number of points is checked against a bound.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def bisector(p: tuple[float, float], q: tuple[float, float]) -> tuple[float, flo
 
 def tidy(cell: Polygon) -> Polygon:
     """Without repeated and collinear corners, counter-clockwise from the lowest, then leftmost corner."""
-    near = lambda p, q: abs(p[0] - q[0]) <= EPS and abs(p[1] - q[1]) <= EPS
+    near = lambda p, q: math.dist(p, q) <= EPS
     cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
     out: Polygon = []
     for p in cell:
@@ -58,7 +59,7 @@ def tidy(cell: Polygon) -> Polygon:
             k = 0
         else:
             k += 1
-    if len(out) < 3:
+    if not out:
         return out
     if sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(out, out[1:] + out[:1], strict=True)) < 0:
         out.reverse()

@@ -73,7 +73,7 @@ def field_and_points(spark: SparkSession, path: str) -> tuple[float, float, Data
 
     An empty text is an error.
     """
-    numbers = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("v"))
+    numbers = spark.read.text(path, wholetext=True).select(F.array_remove(F.split("value", r"\s+"), "").alias("v"))
     head = numbers.select(F.get("v", F.lit(0)), F.get("v", F.lit(1)), F.get("v", F.lit(2))).first()
     if head is None or head[2] is None:
         raise ValueError("the text must begin with width, height and the number of points")
