@@ -163,9 +163,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select(F.col("v"), F.col("v"))).distinct()
         seen = state
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{name}-large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = materialise(small, name)
 
@@ -183,7 +183,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     gives none.
     """
     slim = materialise(sketch(docs, width, k), "near-sketches")
-    classes = slim.filter("signature is not null and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("class_id"))
+    classes = slim.filter("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1 and class_id is not null")
+    # aggregates are written before they are joined: a join right above an aggregate can't split a hot key
+    classes = materialise(classes.select("signature", "class_id"), "near-equal")
     members = slim.join(classes, "signature", "left").select("doc_id", "n_shingles", "sketch", F.coalesce("class_id", "doc_id").alias("class_id"))
     members = materialise(members, "near-classes")
     reps = members.filter("doc_id = class_id and n_shingles > 0")
@@ -191,6 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     values = F.transform(F.sequence(F.lit(1), F.size("sketch") - (run - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(run)]))
     lists = reps.filter(F.size("sketch") >= run).select(F.explode(F.array_distinct(values)).alias("key"), "doc_id")
     ends = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    ends = materialise(ends, "near-ends")
     lists = materialise(lists.join(ends, "key"), "near-lists")
     star = lists.select(F.explode(F.array("lo", "hi")).alias("end"), "doc_id").filter("end <> doc_id")
     pairs = materialise(star.select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct(), "near-pairs")
@@ -201,6 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     placed = lists.select("key", "doc_id", "n").join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("key", "doc_id", "n", "c")
     member = F.struct("c", "doc_id")
     mixed = placed.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).filter("lo.c <> hi.c")
+    mixed = materialise(mixed, "near-mixed-ends")
     placed = materialise(placed.join(mixed, "key"), "near-mixed")
     short = placed.filter(F.col("n") <= SHORT_LIST)
     x, y = short.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), short.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
