@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sha
+from .common import materialise, sha
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,7 @@ def report(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     by = findings.groupBy("blob").agg(_spans(findings, kinds).alias("all"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base])
     by = by.select("blob", *[f"n_{k}" for k in base], F.sha2(show(F.filter("all", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), show(F.col("all")).alias("spans"))
+    by = materialise(by, "secret-spans")  # a join right above an aggregate can't split a blob that many documents hold
     out = docs.select("doc_id", sha(F.col("text")).alias("blob")).join(by, "blob", "left")
     return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
@@ -125,6 +126,7 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]", length:
     rows = rows.withColumn("part", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
     parts = rows.groupBy("blob", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     parts = parts.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")).withColumnRenamed("blob", "_blob")
+    parts = materialise(parts, "secret-cuts")
     out = docs.withColumn("_blob_of", sha(F.col("text"))).join(parts, F.col("_blob_of") == F.col("_blob"), "left")
     n = F.size("_cuts")
     between = F.transform(
