@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, materialise
 
 #: Bytes of records in a frame and in a bundle, before compression; a longer record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 22
@@ -171,7 +171,8 @@ def bundles(pages: DataFrame, least: int = 0) -> DataFrame:
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     whole = whole.withColumn("sha", F.sha1(F.col("html")))
     equal = whole.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    whole = whole.join(equal.select("sha", "first"), "sha", "left")
+    # written first: a join right above an aggregate can't split a payload that many pages have
+    whole = whole.join(materialise(equal.select("sha", "first"), "warc-equal"), "sha", "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return whole.select("page_id", "url", "html", refers_to.alias("refers_to")).mapInArrow(_write, f"bundle string, data binary, records {_INDEX}")
 
