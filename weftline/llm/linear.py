@@ -104,11 +104,13 @@ def _featurise(repeats: bool):
     return run
 
 
-def fit(rows: DataFrame, repeats: bool = False, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -> Model | None:
+def fit(rows: DataFrame, prior: float | None = None, repeats: bool = False, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -> Model | None:
     """A calibrated model from rows (text, target in 0..1, fold); the caller bounds the number of rows.
 
     Rows with fold 0 calibrate, the others train. Vectors are made on the
     executors, and only they reach the driver. None if either class is missing.
+    prior: share of the upper class where the model will be used, if it differs
+    from its share among the rows; the calibration is shifted to it.
     """
     sample = rows.select("text", F.col("target").cast("double").alias("target"), "fold")
     parts = []
@@ -131,6 +133,10 @@ def fit(rows: DataFrame, repeats: bool = False, steps: int = 60, rate: float = 1
     crow = np.repeat(np.arange(len(cy)), cn)
     score, target = (np.bincount(crow, w[cindex] * cshare, len(cy)), cy) if len(cy) else (np.bincount(row, w[index] * share, len(y)), y)
     slope, offset = platt(score, target)
+    if prior is not None:
+        odds = lambda p: np.log(p) - np.log(1 - p)
+        share = np.clip([prior, target.mean()], 0.01, 0.99)
+        offset += float(odds(share[0]) - odds(share[1]))
     return Model(w, slope, offset)
 
 

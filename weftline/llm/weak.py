@@ -25,7 +25,7 @@ from .tokens import Words
 
 #: Documents of each posterior class that the scorer is fitted on at most, in the order of a hash.
 SAMPLE_PER_CLASS = 800
-#: A document is kept at this probability of good quality or more: low, as very short texts score unsurely.
+#: A document is kept at this probability of good quality or more: only likely junk goes.
 KEEP_AT = 0.2
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[LabelModel,
     rank = F.xxhash64("doc_id", F.lit(13))
     picked = [known.filter(side).orderBy(rank, "doc_id").limit(per_class) for side in ("target < 0.5", "target >= 0.5")]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    return labels, linear.fit(rows.select("text", "target", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)).alias("fold")), repeats=True)
+    return labels, linear.fit(rows.select("text", "target", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)).alias("fold")), labels.prior, repeats=True)
 
 
 def judge(docs: DataFrame, labels: LabelModel, model: linear.Model | None) -> DataFrame:
