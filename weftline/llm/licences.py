@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # Sentences by which licence families are named or granted.
 TEMPLATES = {
     "agpl-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL-3.0 license."],
@@ -164,7 +166,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or train()
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(CUE)).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("paragraph"))
-    hits = held.join(classify(held.select("paragraph").distinct(), model), "paragraph")
+    # written first: a join right above an aggregate can't split a paragraph that many documents have
+    known = materialise(classify(held.select("paragraph").distinct(), model), "licences")
+    hits = held.join(known, "paragraph")
     best = F.max(F.struct("probability", "family"))
     by = hits.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), best.alias("best"))
     out = docs.select("doc_id").join(by, F.col("doc_id").eqNullSafe(F.col("id")), "left")
