@@ -45,6 +45,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return io.parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # rows
 
 
@@ -200,7 +204,7 @@ def average_skips_invalid(spark, d):
 
 @_query(f"select doc_id, count(distinct word) as n from (select doc_id, unnest({_WORDS}) as word from documents) group by doc_id")
 def distinct_words_per_document(spark, d):
-    docs = _table(spark, d, "documents").select("doc_id", F.explode(texts.words(F.col("text"))).alias("word"))
+    docs = _documents(spark, d).select("doc_id", F.explode(texts.words(F.col("text"))).alias("word"))
     return docs.dropDuplicates(["doc_id", "word"]).transform(aggregates.count_by(["doc_id"], "n"))
 
 
@@ -275,7 +279,7 @@ def sort_parts(spark, d):
 
 @_query(f"select word as text, count(*) as count from (select unnest({_WORDS}) as word from documents) group by word")
 def word_count(spark, d):
-    return texts.word_count(_table(spark, d, "documents"))
+    return texts.word_count(_documents(spark, d))
 
 
 @_query(f"""
@@ -286,7 +290,7 @@ f as (select word, count(*) as df from c group by word),
 s as (select c.doc_id, c.word, round(n / total * ln((select count(*) from documents) / df), 9) as tf_idf from c join t using (doc_id) join f using (word))
 select doc_id, word as text, tf_idf from s qualify row_number() over (partition by word order by tf_idf desc, doc_id) <= 3""")
 def tf_idf_top3(spark, d):
-    return texts.inverted_index(_table(spark, d, "documents"))
+    return texts.inverted_index(_documents(spark, d))
 
 
 @_query(f"""
@@ -297,7 +301,7 @@ f as (select word, sum(n) as all_docs from c group by word),
 s as (select c.doc_id, c.word, round(ln((n / total) / (all_docs / (select sum(n) from c))), 9) as pmi from c join t using (doc_id) join f using (word))
 select doc_id, word as text, pmi from s qualify row_number() over (partition by doc_id order by pmi desc, word) <= 10""")
 def pmi_top10(spark, d):
-    return texts.pmi(_table(spark, d, "documents"))
+    return texts.pmi(_documents(spark, d))
 
 
 @_query(f"""
@@ -309,7 +313,7 @@ def pipeline_document_frequency(spark, d):
     words = docs.then(transforms.project(["doc_id", "text"]), transforms.strip_punctuation("text"), transforms.lower_case("text"), transforms.split("text"))
     df = words.then(lambda x: x.dropDuplicates(["doc_id", "text"]), aggregates.count_by(["text"], "df"), transforms.keep("df > 5"))
     both = df.join(docs.then(aggregates.count_by([], "docs")), [])
-    return both.run(docs=_table(spark, d, "documents")).withColumnRenamed("text", "word")
+    return both.run(docs=_documents(spark, d)).withColumnRenamed("text", "word")
 
 
 _ROADS = """

@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             out.coalesce(1).write.mode("overwrite").text(args.output)
         return
     else:
-        docs = io.json_lines(spark, args.input, "doc_id string, text string")
+        docs = io.spread(io.json_lines(spark, args.input, "doc_id string, text string"))
         out = {"word-count": texts.word_count, "inverted-index": texts.inverted_index, "pmi": texts.pmi}[args.command](docs)
     io.write_json_lines(out, args.output, single_file=True)
 

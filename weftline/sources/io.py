@@ -54,6 +54,16 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan dealt over the cluster if it has fewer partitions than cores, as with a file of one row group.
+
+    For scans alone: what lies below is planned here. A scan with more
+    partitions, as any large table has, stays as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def write_json_lines(df: DataFrame, path: str, single_file: bool = False, nulls: bool = False) -> None:
     """JSON lines into a folder, or for "-" to standard output in the order of the rows.
 
