@@ -99,3 +99,13 @@ def test_join_groups(spark, rows):
         yield {"k": (left or right)[0]["k"], "n": 10 * len(left) + len(right)}
 
     assert rows(udf.join_groups(a, b, both, ["k"], "k long, n long")) == [(1, 10), (2, 11), (3, 1)]
+
+
+def test_spread_deals_small_scans_only(spark, rows, tmp_path):
+    spark.range(20).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(20).repartition(9).write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "many"))
+    one = io.spread(io.parquet(spark, str(tmp_path / "one")))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows(one) == [(i,) for i in range(20)]
+    many = io.parquet(spark, str(tmp_path / "many"))
+    if many.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        assert io.spread(many) is many
