@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, quality, secrets
-from weftline.llm.common import materialise, table
+from weftline.llm.common import materialise, small_batches, table
 from weftline.llm.mixing import mix
 from weftline.llm.near_dedup import near_duplicates
 
@@ -20,17 +20,20 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the model trained on labels of these documents."""
+    small_batches(spark)
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates (5-word shingles, 0.8)."""
+    small_batches(spark)
     gone = near_duplicates(docs, width=5, percent=80).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

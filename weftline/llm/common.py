@@ -18,6 +18,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that one vectorised step handles at most, unless a single text is longer.
 CHUNK_BYTES = 1 << 18
+#: Rows of an Arrow batch where Spark's default would apply.
+BATCH_ROWS = 1000
 
 _own_dir: str | None = None
 
@@ -26,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send whole texts to Python workers in smaller batches, unless the user has chosen a size.
+
+    Batches exist several times over on their way through JVM and worker.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, htmlcut, lattice_lm, licences, quality, secrets, warc, weak
-from .common import materialise, table
+from .common import materialise, small_batches, table
 from .mixing import mix
 from .near_dedup import near_duplicates
 
@@ -134,8 +135,13 @@ from d left join g on d.doc_id = g.doc_id
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
