@@ -48,6 +48,8 @@ AROUND = [
     '<div class="cookie-notice"><p>We use cookies. Do you accept them?</p></div><article>{}</article><aside><h3>Related</h3><p>Another story of great length. Read it now, it is good.</p></aside>',
     '<article>{}<div class="ad"><p>Buy this product now. It is cheap.</p></div></article><section id="comments"><h3>3 comments</h3><div class="comment"><p>I liked this text very much. Thank you for it.</p></div></section>',
     "<article><script>var x = '<p>no</p>';</script><style>p { color: red }</style>{}<form><label>Your name</label><input><textarea>type here</textarea><button>Send</button></form></article>",
+    '<div role="complementary"><p>More from us. Read it all, every day.</p></div><div class="hentry"><article>{}</article></div><div role="contentinfo"><p>Imprint and contact. All the rest.</p></div>',
+    '<div id="reader-comments"><p>First! I was here before you all. Nice text.</p></div><main>{}</main><div class="cookiebar"><p>This site uses cookies. Is that fine?</p></div>',
     '<div class="sidebar"><p>About the author. She writes on many things.</p></div><article>{}</article>',
 ]
 
@@ -58,6 +60,11 @@ def test_content_without_boilerplate(around):
     assert extract(page) == TEXT
 
 
+def test_an_articles_own_header_is_content():
+    page = '<div class="site-header"><p>The site of sites.</p></div><article><div class="entry-header"><h1>Heading of it</h1></div><p>Text of the article. It is here.</p></article>'
+    assert extract(page) == "Heading of it\nText of the article. It is here."
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

@@ -43,7 +43,9 @@ _PROSE = {"p", "blockquote", "pre", "li", "td", "dd", "figcaption", *_HEADINGS}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", *_HEADINGS}
 _BAD_TAGS = {"nav", "footer", "aside", "menu", "header"}
 _GOOD_TAGS = {"article", "main"}
-_BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widget|disqus|legal|copyright|login|signup|search)(?:$|[\s_-])", re.I)
+_BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookie\w*|dialog|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|side|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widget|disqus|legal|copyright|login|signup|search)(?:$|[\s_-])", re.I)
+#: The header of an article is part of it.
+_OWN_HEADER = re.compile(r"\b(?:article|content|entry|page|post|section|story|title)[_-]header\b", re.I)
 _GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
 #: Capacities are integers: log odds and smoothness times this.
@@ -156,7 +158,7 @@ def features(block: Block) -> list[float]:
     return [
         1.0,
         float(bad),
-        float(any(_BAD_NAMES.search(x) for x in names)),
+        float(any(_BAD_NAMES.search(_OWN_HEADER.sub("", x)) for x in names)),
         float(good >= 0),
         float(any(_GOOD_NAMES.search(x) for x in names)),
         float(leaf in _PROSE),
