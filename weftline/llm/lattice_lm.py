@@ -35,6 +35,8 @@ from .common import WORD, chunks, materialise
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block, and documents in it at most.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 60_000
+#: Distinct words that a task works on at once, at least if there are more.
+WORD_ROWS = 20_000
 #: Longest piece, in code points.
 MAX_PIECE = 16
 SMOOTH = 0.1
@@ -206,10 +208,23 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block.rows(base + number)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined until they are long enough for vectorised work."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= WORD_ROWS:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def _expect(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.log_p))
-        for batch in batches:
+        for batch in _together(batches):
             total += lattice.expect(batch.column(0).to_pylist(), np.ones(batch.num_rows))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "n"])
@@ -219,7 +234,7 @@ def _expect(lattice: Lattice):
 
 def _score(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _together(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice.score(batch.column(0).to_pylist()) / np.log(10))], names=["word", "c", "log_p"])
 
     return run
