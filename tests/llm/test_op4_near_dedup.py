@@ -108,3 +108,51 @@ def test_sets_do_not_depend_on_the_batch(prose):
     whole = list(nd.shingle_sets(texts, 3))
     for text, s in zip(texts, whole, strict=True):
         assert np.array_equal(next(nd.shingle_sets([text], 3)), s) and len(s) == len(shingles(text, 3))
+
+
+def edited_copies(n, seed):
+    """One text with 3 or 4 of its 150 words replaced by new ones in most copies, with fewer in some, which are their only links."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for j in rng.sample(range(150), 0 if i == n // 2 else 1 if i % 100 == 50 else 2 if i % 20 == 10 else rng.randint(3, 4)):
+            words[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+def all_pairs(rows, width, percent):
+    """As plain(), by a product of matrices."""
+    sets = [shingles(text, width) for _, text in rows]
+    place = {s: k for k, s in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [place[x] for x in s]] = 1
+    shared, n = (m @ m.T).astype(int), m.sum(axis=1).astype(int)
+    linked = 100 * shared >= percent * (n[:, None] + n - shared)
+    label, last = np.array([i for i, _ in rows]), None
+    while last is None or (label != last).any():
+        last, label = label, np.array([label[x].min() for x in linked])
+    return dict(zip([i for i, _ in rows], label.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("block", [1024, 300])
+def test_large_group_of_edited_copies(spark, monkeypatch, block):
+    """Links to members other than the ends of long lists are found, in one block and in many."""
+    monkeypatch.setattr(nd, "BLOCK_DOCS", block, raising=False)
+    rows = edited_copies(2000, 1)
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()}
+    want = all_pairs(rows, 3, 85)
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
+@pytest.mark.parametrize("columns", [4096, 7])
+def test_shared_counts(monkeypatch, columns):
+    monkeypatch.setattr(nd, "COLUMNS", columns)
+    rng = np.random.default_rng(1)
+    often, seldom = rng.integers(0, 2**63, 40).astype(np.uint64), rng.integers(0, 2**63, 3000).astype(np.uint64)
+    left, right = ([np.unique(np.concatenate([rng.choice(often, 25), rng.choice(seldom, 30)])) for _ in range(n)] for n in (90, 70))
+    assert nd._shared(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]

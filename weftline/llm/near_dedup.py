@@ -15,8 +15,11 @@ a bound on set sizes and the similarity estimated from the union's sketch, and
 are then confirmed on the full shingle sets. Connected components of confirmed
 links follow. A list that still holds several components emits further pairs:
 all between different components if it is short, else each member with one of
-the first and of the last component. What can be lost is a document whose only
-link is to a few members of a long list, none of which it meets in a shorter one.
+the first and of the last component. Long lists that still hold several then
+are finished exactly: their documents outside an area's largest component are
+compared with all of the area (components that share such lists), in blocks of
+full shingle sets. So all documents that share a list are of one component or
+have been compared.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ SKETCH = 48
 RUN = 3
 #: Lists up to this length emit all pairs of members from different components in the second round.
 SHORT_LIST = 64
+#: Documents and shingle hashes that one side of a block of the last round has at most, on average.
+BLOCK_DOCS, BLOCK_HASHES = 1024, 1 << 21
+#: Columns of a block that are multiplied at once, and the share of pairs below which a column is added pair by pair.
+COLUMNS, SPARSE = 4096, 1 / 64
 #: Slack of the estimate below the threshold, in standard deviations of a k-value sketch (about 6).
 ESTIMATE_SLACK = 0.30
 #: Bits of the table of wanted document ids.
@@ -170,6 +177,96 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = materialise(small, name)
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left has in common with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    if not len(common):
+        return out.astype(np.int64)
+    sides, found = [], []
+    for sets, values in zip((left, right), flat, strict=True):
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        rows, at = rows[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((rows[order], at[order]))
+        found.append(np.bincount(at, minlength=len(common)))
+    sparse = found[0] * found[1] < SPARSE * len(left) * len(right)
+    first = [np.concatenate([[0], np.cumsum(x)]) for x in found]
+    for c in np.flatnonzero(sparse).tolist():
+        x, y = (rows[f[c] : f[c + 1]] for (rows, _), f in zip(sides, first, strict=True))
+        out[np.ix_(x, y)] += 1
+    place = np.cumsum(~sparse) - 1
+    dense = [(rows[~sparse[at]], place[at[~sparse[at]]]) for rows, at in sides]
+    for lo in range(0, int((~sparse).sum()), COLUMNS):
+        x, y = (np.zeros((len(sets), COLUMNS), np.float32) for sets in (left, right))
+        for matrix, (rows, at) in zip((x, y), dense, strict=True):
+            a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+            matrix[rows[a:b], at[a:b] - lo] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _crossed(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        side, c = (block.column(x).to_numpy() for x in ("side", "c"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles")]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        edges = []
+        if len(x) and len(y):
+            shared = _shared([sets[i] for i in x], [sets[i] for i in y])
+            n = np.array([len(s) for s in sets])
+            linked = (shared > 0) & (100 * shared >= percent * (n[x][:, None] + n[y] - shared)) & (c[x][:, None] != c[y])
+            i, j = np.nonzero(linked)
+            up: dict[int, int] = {}
+
+            def top(v: int) -> int:
+                while up.get(v, v) != v:
+                    v = up[v] = up.get(up[v], up[v])
+                return v
+
+            # no more edges than components: those that join two within the block
+            for u, v in np.unique(np.stack([c[x][i], c[y][j]], axis=1), axis=0).tolist():
+                a, b = top(u), top(v)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    edges.append((u, v))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
+def _rest(lists: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between components that share lists over the short length, by all comparisons that are left; None if there are no such lists."""
+    placed = lists.filter(F.col("n") > SHORT_LIST).select("key", "doc_id").join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    mixed = materialise(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "lo"), "near-rest-lists")
+    if mixed.isEmpty():
+        return None
+    placed = materialise(placed.join(mixed, "key").select("doc_id", "c", "lo").distinct(), "near-rest")
+    areas = materialise(components(placed.select(F.col("c").alias("a"), F.col("lo").alias("b"))).toDF("c", "area"), "near-areas")
+    members = materialise(placed.select("doc_id", "c").distinct().join(areas, "c"), "near-rest-members")
+    most = members.groupBy("area", "c").agg(F.count("*").alias("n")).groupBy("area").agg(F.max(F.struct("n", "c"))["c"].alias("main"))
+    most = materialise(most, "near-areas-main")
+    sets = sets_of(docs, members.select("doc_id"), width)
+    full = members.join(most, "area").join(sets, "doc_id").withColumn("n", F.expr("length(shingles) div 8"))
+    # sets that are similar enough have the same or neighbouring size classes
+    step = float(np.log(100 / percent) * (1 + 1e-9))
+    full = full.withColumn("size", F.floor(F.log("n") / step) if step > 0 else F.col("n"))
+    full = materialise(full.select("area", "size", "n", "doc_id", "c", (F.col("c") == F.col("main")).alias("main"), "shingles"), "near-rest-sets")
+    left = full.filter("not main").withColumn("size", F.explode(F.array([F.col("size") + d for d in (-1, 0, 1)])))
+    blocks = lambda df, name: df.groupBy("area", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_HASHES)).alias(name))
+    cuts = materialise(blocks(left, "x").join(blocks(full, "y"), ["area", "size"]), "near-rest-blocks")
+    salt = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(cuts, ["area", "size"]).withColumn("i", salt("x")).withColumn("j", every("y")).withColumn("side", F.lit(0))
+    right = full.join(cuts, ["area", "size"]).withColumn("j", salt("y")).withColumn("i", every("x")).withColumn("side", F.lit(1))
+    names = ["area", "size", "i", "j", "side", "c", "shingles"]
+    both = left.select(names).unionAll(right.select(names))
+    return materialise(both.groupBy("area", "size", "i", "j").applyInArrow(_crossed(percent), "a long, b long").distinct(), "near-3-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, run: int = RUN) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -214,7 +311,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     ends = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b"))
     more = materialise(crossed.union(ends).distinct().join(pairs, ["a", "b"], "left_anti"), "near-more")
     links = links.union(_linked(more, reps, docs, width, k, percent, "near-2"))
-    found = components(links)
+    found = materialise(components(links), "near-components-2")
+    rest = _rest(lists, found, docs, width, percent)
+    if rest is not None:
+        found = components(links.union(rest))
 
     found = found.select(F.col("doc_id").alias("class_id"), "component_id")
     out = members.select("doc_id", "n_shingles", "class_id").join(found, "class_id", "left")
