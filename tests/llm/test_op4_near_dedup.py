@@ -156,3 +156,10 @@ def test_shared_counts(monkeypatch, columns):
     often, seldom = rng.integers(0, 2**63, 40).astype(np.uint64), rng.integers(0, 2**63, 3000).astype(np.uint64)
     left, right = ([np.unique(np.concatenate([rng.choice(often, 25), rng.choice(seldom, 30)])) for _ in range(n)] for n in (90, 70))
     assert nd._shared(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
+def test_very_short_sets(spark):
+    """Of 4 and 5 shingles with 4 in common, wherever the fifth is in the order of hashes."""
+    rows = [(2 * k + j, " ".join(f"w{k}_{i}" for i in range(8 + j))) for k in range(60) for j in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}

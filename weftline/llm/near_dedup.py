@@ -37,6 +37,8 @@ from .tokens import Words, mix, windows
 
 SKETCH = 48
 RUN = 3
+#: Sets up to this size are also in the list of each single value: an extra value can leave no run of three there.
+SHORT_SET = 5
 #: Lists up to this length emit all pairs of members from different components in the second round.
 SHORT_LIST = 64
 #: Documents and shingle hashes that one side of a block of the last round has at most, on average.
@@ -288,7 +290,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     reps = members.filter("doc_id = class_id and n_shingles > 0")
 
     values = F.transform(F.sequence(F.lit(1), F.size("sketch") - (run - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(run)]))
-    lists = reps.filter(F.size("sketch") >= run).select(F.explode(F.array_distinct(values)).alias("key"), "doc_id")
+    none = F.array().cast("array<long>")
+    values = F.when(F.size("sketch") >= run, values).otherwise(none)
+    values = F.concat(values, F.when(F.col("n_shingles") <= SHORT_SET, F.transform("sketch", lambda x: F.xxhash64(x))).otherwise(none))
+    lists = reps.select(F.explode(F.array_distinct(values)).alias("key"), "doc_id")
     ends = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     ends = materialise(ends, "near-ends")
     lists = materialise(lists.join(ends, "key"), "near-lists")
