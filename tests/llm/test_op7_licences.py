@@ -65,3 +65,14 @@ def test_model_on_altered_copies_it_has_not_seen():
         right.append((int(z.argmax()) == label, (p / p.sum()).max()))
     accuracy, confidence = (np.mean([r[k] for r in right]) for k in (0, 1))
     assert accuracy > 0.95 and abs(accuracy - confidence) < 0.08
+
+
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_wrapped_templates(scan, mark):
+    import textwrap
+
+    pairs = [(f, s) for f, some in licences.TEMPLATES.items() for s in some for _ in (60, 70, 79, 80)]
+    widths = [60, 70, 79, 80] * (len(pairs) // 4)
+    texts = [f"{mark}A title\n{mark}\n" + textwrap.fill(s, w, initial_indent=mark, subsequent_indent=mark) + f"\n{mark}\nOther text" for (_, s), w in zip(pairs, widths, strict=True)]
+    got = scan(texts)
+    assert [(f, w, got[i]["families"]) for i, ((f, _), w) in enumerate(zip(pairs, widths, strict=True)) if got[i]["families"] != f or got[i]["n_paragraphs"] != 1] == []

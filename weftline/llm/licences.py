@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier, scored in DataFrame operations only.
 
-Paragraphs are lines, cut at sentence ends. A multinomial logistic regression
+Paragraphs are sentences, whose wrapped lines are joined, of blocks between
+blank lines (or lines of marks only); lines of a sentence are also tried on
+their own, as titles and lists have no sentence ends. A multinomial logistic regression
 over word 1- and 2-grams that are present, trained on altered copies of the
 families' template sentences and on other prose, has a class for unknown text;
 a temperature fitted on held-out copies calibrates its probabilities. A
@@ -47,7 +49,9 @@ OTHER = ["The driver had to show a license at the border.", "Ask for permission
 UNKNOWN = "unknown"
 CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|rights reserved"
 _WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-_CUT = r"\n|(?<=[.!?:])[\x20\t]+"
+_CUT = r"\n(?=[^\p{L}\p{N}\n]*\n)|(?<=[.!?:])\s+"
+#: The cue where it may be wrapped.
+_CUE_WRAPPED = CUE.replace(" ", r"[^\p{L}\p{N}]+")
 #: A prediction is dropped below this probability, or below this share of a template's words.
 CONFIDENT, CONTAINED = 0.5, 0.75
 
@@ -122,9 +126,19 @@ def train(copies: int = 12, steps: int = 150, rate: float = 0.5) -> Model:
     return Model([*TEMPLATES, UNKNOWN], grams, w[:, :-1], w[:, -1])
 
 
-def paragraphs(text: Column) -> Column:
-    """Lines of a text, cut at sentence ends, that have a cue."""
-    return F.filter(F.split(text, _CUT), lambda x: x.rlike(CUE))
+def sentences(text: Column) -> Column:
+    """Sentences of a text, with their line feeds, that have a cue."""
+    return F.filter(F.split(text, _CUT), lambda x: x.rlike(_CUE_WRAPPED))
+
+
+def paragraphs(sentence: Column) -> Column:
+    """A sentence with its lines joined, and each of its lines, that have a cue: structs of paragraph and whether it is a line."""
+    lines = F.split(sentence, "\n")
+    joined = F.regexp_replace(sentence, r"(?<=[\p{L}\p{N}])-[\x20\t\r]*\n[^\p{L}\p{N}\n]*", "-")
+    joined = F.regexp_replace(joined, r"[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}\n]*", " ")
+    whole = F.when(F.size(lines) > 1, F.array(joined)).otherwise(F.array().cast("array<string>"))
+    each = F.concat(F.transform(lines, lambda x: F.struct(x.alias("paragraph"), F.lit(True).alias("line"))), F.transform(whole, lambda x: F.struct(x.alias("paragraph"), F.lit(False).alias("line"))))
+    return F.filter(each, lambda x: x["paragraph"].rlike(CUE))
 
 
 def classify(found: DataFrame, model: Model) -> DataFrame:
@@ -165,11 +179,17 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     name. Other columns are ignored. An empty table gives no rows.
     """
     model = model or train()
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(CUE)).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("paragraph"))
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(_CUE_WRAPPED)).select("doc_id", F.explode(sentences(F.col("text"))).alias("sentence"))
+    held = held.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "at", F.inline(paragraphs(F.col("sentence"))))
     # written first: a join right above an aggregate can't split a paragraph that many documents have
     known = materialise(classify(held.select("paragraph").distinct(), model), "licences")
     hits = held.join(known, "paragraph")
     best = F.max(F.struct("probability", "family"))
+    # lines of a wrapped sentence count if the sentence doesn't, or if one of them names its family already
+    hit = F.struct("probability", "family")
+    hits = hits.groupBy("doc_id", "at").agg(F.collect_list(F.when(F.col("line"), hit)).alias("lines"), F.first(F.when(~F.col("line"), hit), ignorenulls=True).alias("whole"))
+    listed = F.col("whole").isNull() | F.exists("lines", lambda x: x["family"] == F.col("whole.family"))
+    hits = hits.select("doc_id", F.inline(F.when(listed, F.col("lines")).otherwise(F.array("whole"))))
     by = hits.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), best.alias("best"))
     out = docs.select("doc_id").join(by, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.col("best.family").alias("family"), F.col("best.probability").alias("probability"))
