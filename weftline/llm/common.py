@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ CHUNK_BYTES = 1 << 18
 BATCH_ROWS = 1000
 
 _own_dir: str | None = None
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +57,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back.
 
     This cuts the lineage and survives lost executors: the files are plain
     Parquet, not blocks on an executor's disk.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and that no later step reads; others are left alone."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -93,5 +110,5 @@ def n_words(text: Column) -> Column:
 
 
 def sha(text: Column) -> Column:
-    """Content address of a text (null counts as empty)."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    """Content address of a text, its SHA-256 in binary (null counts as empty)."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
