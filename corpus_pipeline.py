@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, quality, secrets
-from weftline.llm.common import materialise, small_batches, table
+from weftline.llm.common import materialise, shared_path, small_batches, table
 from weftline.llm.mixing import mix
 from weftline.llm.near_dedup import near_duplicates
 
 #: No SQL expresses the trained model of the first stage; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
+#: Setting that names the shared folder of a ledger of secrets to carry on.
+LEDGER = "weftline.secrets.ledger"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars set anew where that changes a text."""
-    _, findings = secrets.update(docs)
-    return secrets.redact(docs, materialise(findings, "pipeline-findings"), length="n_chars")
+    """All documents, with secrets replaced by a mark and n_chars set anew where that changes a text.
+
+    The ledger is the folder that LEDGER names in the session, so that a later
+    run scans only new texts; without the setting it is a new one.
+    """
+    ledger = spark.conf.get(LEDGER, None) or shared_path(spark, "pipeline-secrets")
+    return secrets.redact(docs, secrets.update(docs, ledger), length="n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
