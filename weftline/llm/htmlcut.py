@@ -7,6 +7,10 @@ capacities. Neighbouring blocks are joined by smoothness edges, stronger the
 nearer they are in the tree: same parent, or few steps through a common
 ancestor. The minimum cut, found by max-flow, labels blocks as content or
 boilerplate at the least total cost.
+
+Names of elements (classes, ids, roles) are evidence, word by word, but not those
+of the page's principal element, its largest main or article, nor of what holds
+it: a wrapper or body may well be named after the sidebar that it has room for.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import chunks
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*')*+)>", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
@@ -36,56 +40,137 @@ RAW = {"script", "style", "template", "textarea", "title", "iframe", "noframes",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Inline elements: their text belongs to the block around them.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Elements that are never content, whatever the model says of their text.
-OUTSIDE = {"head", "select", "option", "button", "object", "svg", "math", "audio", "video", "canvas", "datalist", "form", "dialog", "noscript"}
+#: Elements that are never content, whatever the model says of their text; forms only if they do not hold the article.
+OUTSIDE = {"head", "select", "option", "button", "object", "svg", "math", "audio", "video", "canvas", "datalist", "dialog", "noscript"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PROSE = {"p", "blockquote", "pre", "li", "td", "dd", "figcaption", *_HEADINGS}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", *_HEADINGS}
+_CLOSES = {"li": {"li"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}} | dict.fromkeys(_CLOSES_P, {"p"})
 _BAD_TAGS = {"nav", "footer", "aside", "menu", "header"}
 _GOOD_TAGS = {"article", "main"}
-_BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookie\w*|dialog|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|side|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widget|disqus|legal|copyright|login|signup|search)(?:$|[\s_-])", re.I)
-#: The header of an article is part of it.
-_OWN_HEADER = re.compile(r"\b(?:article|content|entry|page|post|section|story|title)[_-]header\b", re.I)
-_GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+# Words in the names of boilerplate, of comments, of content, and words that may stand beside them in a name.
+_COMMENTS = {"comment", "comments", "commenter", "disqus", "replies", "reply", "respond", "responses"}
+_BAD_WORDS = _COMMENTS | {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "banner", "banners", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookiebar", "cookieconsent", "cookienotice", "cookies", "dialog", "footer", "gdpr", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promos", "promotion", "recommended", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "sponsors", "subnav", "subscribe", "subscription", "toolbar", "topnav", "widget", "widgets"}
+_HEADER = {"header"}
+_GOOD_WORDS = {"article", "articles", "body", "content", "entry", "hentry", "main", "post", "story", "text"}
+_PLAIN_WORDS = _GOOD_WORDS | {"area", "bar", "block", "bottom", "box", "buttons", "col", "column", "container", "global", "group", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "outer", "page", "panel", "posts", "primary", "reader", "region", "right", "row", "secondary", "section", "site", "slot", "stories", "thread", "top", "unit", "user", "wrap", "wrapper", "zone"}
+_OWN_HEADER = {"article", "content", "entry", "page", "post", "section", "story", "title"}
+_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|[0-9]+")
 
 #: Capacities are integers: log odds and smoothness times this.
 _UNIT = 100
 _LIMIT = 12.0
 #: Smoothness of two neighbouring blocks at a tree distance: SMOOTH / distance.
 SMOOTH = 1.5
+#: Tree distance from which two blocks are not joined.
+FAR = 13
+#: Tree distance from which two blocks are not joined.
+FAR = 13
+#: Tree distance from which two blocks are not joined.
+FAR = 13
 _FEATURES = ("bias", "bad_tag", "bad_name", "good_tag", "good_name", "prose", "heading", "list_item", "links", "words", "stops", "copyright")
 
 
+class Node:
+    """An element that is not inline, with what its own tag and names tell, and what it holds."""
+
+    __slots__ = ("tag", "parent", "depth", "chars", "kinds", "form", "good", "bad", "bad_name", "good_name", "outside")
+
+    def __init__(self, tag: str, parent: Node | None, names: str = ""):
+        self.tag, self.parent, self.chars = tag, parent, 0
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.kinds = name_kinds(names) if names and tag not in ("html", "body") else ""
+        self.good = self.bad = self.bad_name = self.good_name = self.outside = False
+
+
+class Node:
+    """An element that is not inline, with what its own tag and names tell, and what it holds."""
+
+    __slots__ = ("tag", "parent", "depth", "chars", "kinds", "form", "good", "bad", "bad_name", "good_name", "outside")
+
+    def __init__(self, tag: str, parent: Node | None, names: str = ""):
+        self.tag, self.parent, self.chars = tag, parent, 0
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.kinds = name_kinds(names) if names and tag not in ("html", "body") else ""
+        self.good = self.bad = self.bad_name = self.good_name = self.outside = False
+
+
+class Node:
+    """An element that is not inline, with what its own tag and names tell, and what it holds."""
+
+    __slots__ = ("tag", "parent", "depth", "chars", "kinds", "form", "good", "bad", "bad_name", "good_name", "outside")
+
+    def __init__(self, tag: str, parent: Node | None, names: str = ""):
+        self.tag, self.parent, self.chars = tag, parent, 0
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.kinds = name_kinds(names) if names and tag not in ("html", "body") else ""
+        self.good = self.bad = self.bad_name = self.good_name = self.outside = False
+
+
 class Block:
-    __slots__ = ("path", "text", "tags", "names", "link_chars")
+    __slots__ = ("node", "text", "link_chars")
+
+    def __init__(self, node: Node, text: str, link_chars: int):
+        self.node, self.text, self.link_chars = node, text, link_chars
+
+
+@lru_cache(1 << 16)
+def name_kinds(names: str) -> str:
+    """What the words of names stand for: b(oilerplate), c(omments, also b), h(eader), g(ood).
 
-    def __init__(self, path: tuple[int, ...], tags: tuple[str, ...], names: tuple[str, ...]):
-        self.path, self.tags, self.names, self.text, self.link_chars = path, tags, names, "", 0
+    A name counts if all its words are known: a "cookie-notice" is one, something
+    that "has-sidebar" is not a sidebar.
+    """
+    out = set()
+    for name in names.split():
+        words = [x.lower() for x in _PARTS.findall(name)]
+        if not words or "".join(words) != re.sub(r"[-_]", "", name).lower():
+            continue
+        known = lambda some: any(w in some for w in words) and all(w in some or w in _PLAIN_WORDS or w.isdigit() for w in words)  # noqa: B023, E731
+        if known(_BAD_WORDS | _HEADER):
+            if any(w in _BAD_WORDS for w in words):
+                out |= {"b", "c"} if known(_COMMENTS) else {"b"}
+            elif not any(w in _OWN_HEADER for w in words):
+                out.add("h")
+        elif any(w in _GOOD_WORDS for w in words):
+            out.add("g")
+        if name.lower() == "main":
+            out.add("m")
+    return "".join(sorted(out))
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; broken markup is closed the way browsers do in simple cases."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = []  # tag, number, names
+    nodes = [Node("", None)]
+    stack: list[tuple[str, Node, bool]] = []  # tag, its node or that of the block around it, whether it is outside
+    solid: list[int] = []  # places in the stack of elements that are not inline
+    places: dict[str, list[int]] = {}  # places in the stack by tag
     parts: list[str] = []
-    links, in_link, outside, number, at = 0, 0, 0, 0, 0
+    links, in_link, outside, at = 0, 0, 0, 0
+
+    def node() -> Node:
+        return stack[-1][1] if stack else nodes[0]
 
     def end_block() -> None:
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
         if text:
-            frame = [x for x in stack if x[0] not in INLINE]
-            block = Block(tuple(x[1] for x in frame), tuple(x[0] for x in frame), tuple(x[2] for x in frame))
-            block.text, block.link_chars = text, links
-            out.append(block)
+            out.append(Block(node(), text, links))
+            node().chars += len(text)
         parts.clear()
         links = 0
 
-    def pop() -> None:
+    def pop_to(depth: int) -> None:
         nonlocal in_link, outside
-        tag, _, names = stack.pop()
-        in_link -= tag == "a"
-        outside -= tag in OUTSIDE or names == "\0"
+        while len(stack) > depth:
+            tag, own, out_of = stack.pop()
+            places[tag].pop()
+            if tag not in INLINE:
+                solid.pop()
+                own.parent.chars += own.chars
+            in_link -= tag == "a"
+            outside -= out_of
 
     def add(text: str) -> None:
         nonlocal links
@@ -114,56 +199,87 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             end_block()
         if m[1]:
-            if any(x[0] == tag for x in stack):
-                # an inline end tag does not reach out of its block
-                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
-                if not inline or all(x[0] in INLINE for x in stack[depth:]):
-                    while len(stack) > depth:
-                        pop()
+            # an inline end tag does not reach out of its block
+            if places.get(tag) and (not inline or not solid or places[tag][-1] > solid[-1]):
+                pop_to(places[tag][-1])
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if tag in VOID or m[0].endswith("/>") and tag in {"svg", "path"}:
             continue
-        closes = {"p"} if tag in _CLOSES_P else {tag} if tag in {"li", "option", "tr"} else {"td", "th"} if tag in {"td", "th"} else {"dt", "dd"} if tag in {"dt", "dd"} else set()
-        if closes:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    while len(stack) > k:
-                        pop()
+        if closes := _CLOSES.get(tag):
+            for place in reversed(solid):
+                if stack[place][0] in closes:
+                    pop_to(place)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in ("p",):
+                if stack[place][0] != "p":
                     break
         attributes = m[3] or ""
-        names = " ".join(a or b or c for a, b, c in _CLASS.findall(attributes)) if attributes else ""
         hidden = bool(attributes) and not inline and (_NO_DISPLAY.search(attributes) or _HIDDEN.search(_QUOTED.sub("", attributes))) is not None
-        number += 1
-        stack.append((tag, number, "\0" if hidden else names))
+        own = node()
+        if not inline:
+            own = Node(tag, own, " ".join(a or b or c for a, b, c in _CLASS.findall(attributes)) if attributes else "")
+            nodes.append(own)
+            solid.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        out_of = tag in OUTSIDE or hidden
+        stack.append((tag, own, out_of))
         in_link += tag == "a"
-        outside += tag in OUTSIDE or hidden
+        outside += out_of
     end_block()
-    return out
+    pop_to(0)
+    _inherit(nodes, out)
+    return [x for x in out if not x.node.outside]
+
+
+def _inherit(nodes: list[Node], found: list[Block]) -> None:
+    """What each node has from its ancestors; parents come before their children."""
+    root = nodes[0]
+    mains = [x for x in nodes if x.tag == "main" or "m" in x.kinds]
+    under = {root: False}
+    for x in nodes[1:]:
+        under[x] = under[x.parent] or "c" in x.kinds
+    articles = [x for x in nodes if x.tag == "article" and not under[x]]
+    principal = max(mains or articles, key=lambda x: x.chars, default=None)
+    if principal is None:  # where the page's heading is
+        principal = next((b.node.parent for b in found if b.node.tag == "h1"), None)
+    above, x = set(), principal
+    while x is not None:
+        above.add(x)
+        x = x.parent
+    prose = {b.node for b in found if b.text.count(" ") >= 24}
+    long_form = set()
+    for x in prose:
+        while x is not None and x not in long_form:
+            long_form.add(x)
+            x = x.parent
+    for x in nodes[1:]:
+        p = x.parent
+        own = "" if x in above else x.kinds
+        x.good = p.good or x.tag in _GOOD_TAGS or "m" in x.kinds
+        # a header inside an article is part of it
+        x.bad = p.bad or x.tag in _BAD_TAGS and not (x.tag == "header" and p.good)
+        x.bad_name = p.bad_name or "b" in own or "h" in own and not p.good
+        x.good_name = p.good_name or "g" in x.kinds
+        # a form that the whole page is in, as some servers write it, is not a form to fill in
+        whole = x in above and bool(mains or articles) or 4 * x.chars > 3 * root.chars and x in long_form
+        x.outside = p.outside or x.tag == "form" and not whole
 
 
 def features(block: Block) -> list[float]:
-    tags, size = block.tags, len(block.text)
+    node, size = block.node, len(block.text)
     words = block.text.count(" ") + 1
-    leaf = tags[-1] if tags else ""
-    # the innermost sectioning element decides: a header inside an article is part of it
-    good = max((k for k, t in enumerate(tags) if t in _GOOD_TAGS), default=-1)
-    bad = any(t in _BAD_TAGS and not (t == "header" and good >= 0 and k > good) for k, t in enumerate(tags))
-    names = [x for x in block.names if x]
     return [
         1.0,
-        float(bad),
-        float(any(_BAD_NAMES.search(_OWN_HEADER.sub("", x)) for x in names)),
-        float(good >= 0),
-        float(any(_GOOD_NAMES.search(x) for x in names)),
-        float(leaf in _PROSE),
-        float(leaf in _HEADINGS),
-        float(leaf == "li"),
+        float(node.bad),
+        float(node.bad_name),
+        float(node.good),
+        float(node.good_name),
+        float(node.tag in _PROSE),
+        float(node.tag in _HEADINGS),
+        float(node.tag == "li"),
         min(1.0, block.link_chars / size),
         math.log1p(words) / 5,
         min(5, len(re.findall(r"[.!?](?:\s|$)", block.text))) / 5,
@@ -171,9 +287,9 @@ def features(block: Block) -> list[float]:
     ]
 
 
-def _examples() -> Iterator[tuple[str, bool]]:
+def _examples(seed: int = 3) -> Iterator[tuple[str, bool]]:
     """Generated pages, a marked fragment at a time: html of one region, and whether it is content."""
-    rng = np.random.default_rng(3)
+    rng = np.random.default_rng(seed)
     words = lambda n: " ".join("".join(rng.choice(list("aeioulnrst"), rng.integers(2, 8))) for _ in range(n))
     sentences = lambda n: " ".join(words(int(rng.integers(4, 18))).capitalize() + "." for _ in range(n))
     links = lambda n: "".join(f'<li><a href="/x">{words(int(rng.integers(1, 3)))}</a></li>' for _ in range(n))
@@ -181,6 +297,7 @@ def _examples() -> Iterator[tuple[str, bool]]:
     for k in range(60):
         body = f"<h1>{words(5)}</h1>" + "".join(para() for _ in range(int(rng.integers(1, 6)))) + f"<ul><li>{sentences(1)}</li></ul><blockquote>{sentences(2)}</blockquote><h2>{words(3)}</h2>" + para()
         yield (f"<article>{body}</article>", f"<main><article><header><h1>{words(4)}</h1></header>{body}</article></main>", f'<div class="post-content">{body}</div>', f'<div id="main"><div class="entry">{body}</div></div>', f"<div>{body}</div>", f"{body}")[k % 6], True
+        yield f"<div>{sentences(1)}</div>{words(int(rng.integers(2, 8)))}", True
         yield f"<nav><ul>{links(5)}</ul></nav>", False
         yield f'<div class="menu"><ul>{links(4)}</ul></div>', False
         yield f"<header><div>{words(3)}</div><p>{words(6)}</p></header>", False
@@ -189,11 +306,13 @@ def _examples() -> Iterator[tuple[str, bool]]:
         yield f'<div class="{rng.choice(["ad", "advert", "sidebar", "cookie-notice", "newsletter", "comments", "related", "share", "promo banner"])}"><p>{sentences(int(rng.integers(1, 5)))}</p><div>{sentences(1)}</div></div>', False
         yield f'<section id="comments"><h3>{words(2)}</h3><div class="comment"><p>{sentences(int(rng.integers(1, 5)))}</p></div></section>', False
         yield f'<article><div class="comments"><p>{sentences(2)}</p></div><aside><p>{sentences(2)}</p></aside><footer><p>{words(5)}</p></footer></article>', False
+        inner = f'<div class="{rng.choice(["ad", "newsletter-box", "related", "share", "promo banner", "sponsored"])}"><p>{sentences(int(rng.integers(1, 6)))}</p></div>'
+        yield (f"<article>{inner}</article>", f'<div class="post-content">{inner}</div>', f'<main><div class="entry">{inner}</div></main>')[k % 3], False
         yield f"<div><a href='/x'>{words(2)}</a> | <a href='/y'>{words(2)}</a></div>", False
 
 
 @lru_cache(1)
-def train(steps: int = 400, rate: float = 1.0) -> np.ndarray:
+def train(steps: int = 2000, rate: float = 2.0) -> np.ndarray:
     """Weights of the block model, by gradient descent on the generated pages."""
     rows = [(features(b), good) for page, good in _examples() for b in blocks(page)]
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
@@ -201,7 +320,7 @@ def train(steps: int = 400, rate: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
-        w -= rate * (x.T @ (balance * (p - y)) / len(y) + 1e-3 * w)
+        w -= rate * (x.T @ (balance * (p - y)) / len(y) + 1e-4 * w)
     return w
 
 
@@ -272,13 +391,15 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
 
 
 def distance(a: Block, b: Block) -> int:
-    """Steps in the tree between the parents of two blocks, at least 1."""
-    same = 0
-    for x, y in zip(a.path[:-1], b.path[:-1], strict=False):
-        if x != y:
-            break
-        same += 1
-    return max(1, len(a.path) - 1 + len(b.path) - 1 - 2 * same)
+    """One and the steps in the tree between the parents of two blocks; FAR or more are not counted on."""
+    x, y, steps = a.node.parent or a.node, b.node.parent or b.node, 0
+    while x is not y and steps < FAR:
+        if x.depth >= y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+        steps += 1
+    return 1 + steps
 
 
 def extract(page: str, weights: np.ndarray) -> str:
@@ -291,12 +412,12 @@ def extract(page: str, weights: np.ndarray) -> str:
     source = [int(v * _UNIT) if v > 0 else 0 for v in odds]
     sink = [int(-v * _UNIT) if v < 0 else 0 for v in odds]
     edges = [(i, i + 1, int(SMOOTH * _UNIT / distance(found[i], found[i + 1]) ** 2)) for i in range(len(found) - 1)]
-    seen: dict[tuple[int, ...], int] = {}
+    seen: dict[Node | None, int] = {}
     for i, b in enumerate(found):  # siblings further apart
-        last = seen.get(b.path[:-1])
+        last = seen.get(b.node.parent)
         if last is not None and last < i - 1:
             edges.append((last, i, int(SMOOTH * _UNIT / 4)))
-        seen[b.path[:-1]] = i
+        seen[b.node.parent] = i
     return "\n".join(b.text for b, keep in zip(found, min_cut(source, sink, edges), strict=True) if keep)
 
 

@@ -109,6 +109,15 @@ select doc_id, len(s)::bigint as n_shingles, coalesce(root, doc_id) as component
 from s left join c using (doc_id)
 """
 
+# the test tables' pages have their main text in one article each, of a few kinds of elements
+ORACLES["op8_main_text"] = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article[^<>]*>(.*?)</article>', 1, 's') as body from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '<br>', ' ', 'g'), '</?[ab]( [^<>]*)?>', '', 'g'), '<[^<>]*>', chr(1), 'g') as body from a),
+c as (select page_id, url, list_transform(string_split(body, chr(1)), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as parts from b),
+d as (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from c)
+select page_id, url, text, length(text)::bigint as n_chars from d
+"""
+
 ORACLES["op10_decontamination"] = r"""
 with
 d as (
