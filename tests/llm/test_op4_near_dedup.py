@@ -69,7 +69,8 @@ def test_equals_all_pairs(spark, prose, seed, width, percent):
 
 
 def test_long_lists(spark, prose, monkeypatch):
-    """Lists over the short length are finished by pairs with their first and last components."""
+    """Lists over the short length are finished in blocks, and components by rounds."""
+    monkeypatch.setattr(nd, "SMALL_EDGES", 0)
     monkeypatch.setattr(nd, "SHORT_LIST", 3)
     rows = corpus(prose, 4)
     got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
@@ -95,11 +96,12 @@ def test_edges(spark, prose):
     assert nd.near_duplicates(docs.filter("doc_id = 7"), 3, 85).count() == 1
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_components_of_a_long_chain(spark, small):
     ids = list(range(0, 400, 3))
     random.Random(1).shuffle(ids)
     edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(1001, 1002), (5, 5)], "a long, b long")
-    got = {r["doc_id"]: r["component_id"] for r in nd.components(edges).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in nd.components(edges, small).collect()}
     assert got == {**dict.fromkeys(ids, 0), 1001: 1001, 1002: 1001}
 
 
@@ -163,3 +165,46 @@ def test_very_short_sets(spark):
     rows = [(2 * k + j, " ".join(f"w{k}_{i}" for i in range(8 + j))) for k in range(60) for j in (0, 1)]
     got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize(("percent", "k"), [(85, 48), (80, 48), (50, 48), (100, 48), (90, 12)])
+def test_common_values(percent, k):
+    """Similar sets, as random as they can be, have as many retained values in common as is asked for, and one of the rarest."""
+    rng, need = random.Random(percent), nd.common_values(percent, k)
+    assert len(need) == k + 2 and all(1 <= x <= max(1, min(n, k)) for n, x in enumerate(need[1:], 1))
+    for n in [*range(1, k + 20), 100, 400]:
+        for _ in range(20):
+            other = rng.randint(-(-n * percent // 100), n)  # a subset, at the threshold or above
+            a = sorted(rng.sample(range(10**9), n))
+            b = sorted(rng.sample(a, other))
+            if rng.random() < 0.5:  # what was left out, in part replaced, as long as the similarity holds
+                more = rng.randint(0, max(0, other * 100 // percent - n))
+                b = sorted([*b, *rng.sample(range(10**9, 2 * 10**9), more)])
+            shared = len(set(a[:k]) & set(b[:k]))
+            assert 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))
+            assert shared >= max(need[min(n, k + 1)], need[min(len(b), k + 1)])
+
+
+def test_estimate_from_ranks(spark, prose):
+    """Sets around the size of the sketch, at 5 words and 80 %, against all pairs."""
+    rng, rows = random.Random(8), []
+    for g in range(12):
+        words = prose(rng.randint(40, 70), 100 + g).split()
+        for _ in range(8):
+            edited = list(words)
+            for _ in range(rng.randint(0, 2)):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(edited[rng.randint(0, 3) : len(edited) - rng.randint(0, 3)])))
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, 5, 80)
+
+
+def test_passage_that_a_third_of_all_share(spark, prose):
+    """Values of a passage are in no list unless it is most of the document; one id with two texts is one node."""
+    passage = prose(30, 1)
+    rows = [(i, f"{passage} {prose(60, 100 + i)}") for i in range(150)] + [(200, passage), (201, passage + " end"), (200, prose(80, 7)), (202, prose(80, 7) + " end"), (203, prose(80, 8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, 3, 85).collect()}
+    assert got == plain(rows, 3, 85)
+    slim = nd.sketch(docs, 3).selectExpr("doc_id", "hash(signature) as tag", "n_shingles", "sketch")
+    assert nd.inverted_lists(slim, 85, nd.SKETCH)[1].agg({"n": "max"}).first()[0] <= 2

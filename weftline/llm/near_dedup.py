@@ -1,52 +1,54 @@
 """MinHash near-dedup with bottom-k sketches.
 
 One hash function orders a document's distinct word shingles; the k smallest
-hashes are its sketch. Sketches go into inverted lists. A list is kept for
-every run of RUN neighbouring retained values rather than for a single value:
-a passage that many documents share puts single values into lists with a large
-part of the corpus, while a run of values is shared by documents that are alike
-almost everywhere. Two documents at the similarity of 0.85 share no such run
-with a probability of 4e-10 at k = 48.
-
-Documents with equal shingle sets are one class, found by a signature; only
-class representatives go on. A list emits each member paired with the list's
-smallest and largest member, so its output is linear in its length. Pairs pass
-a bound on set sizes and the similarity estimated from the union's sketch, and
-are then confirmed on the full shingle sets. Connected components of confirmed
-links follow. A list that still holds several components emits further pairs:
-all between different components if it is short, else each member with one of
-the first and of the last component. Long lists that still hold several then
-are finished exactly: their documents outside an area's largest component are
-compared with all of the area (components that share such lists), in blocks of
-full shingle sets. So all documents that share a list are of one component or
-have been compared.
+hashes are its sketch. Documents with equal shingle sets are one class, found by
+a signature; only class representatives go on.
+
+Inverted lists hold the documents of each retained value. Two documents that are
+similar enough have a known number of retained values in common: for sets within
+the sketch it follows from the sizes, for larger ones it is the binomial bound
+that fails with a probability below MISSED. So a document is entered only for
+its rarest values, as many as it can have beside the common ones (a prefix
+filter: one common value is among the rarest of both). Values that occur once
+count for nothing, and those of a passage that a large part of the corpus shares
+are left out unless the passage is most of the document.
+
+In a list each member meets the smallest and the largest; a document is first
+compared with the one it meets most often. Pairs pass a bound on set sizes and
+the similarity estimated from the union's sketch, and are then confirmed on the
+full shingle sets. Connected components of confirmed links follow. Lists that
+then hold several components are finished exactly: short ones by all pairs of
+different components, long ones by comparing full sets in blocks, first with
+some hundred documents of the area (components that share such lists), then what
+is still outside the area's largest component with all of the area. So all
+documents that share a list are of one component or have been compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import chunks, discard, materialise
 from .tokens import Words, mix, windows
 
 SKETCH = 48
-RUN = 3
-#: Sets up to this size are also in the list of each single value: an extra value can leave no run of three there.
-SHORT_SET = 5
-#: Lists up to this length emit all pairs of members from different components in the second round.
+#: Lists up to this length are finished by pairs of members from different components, longer ones in blocks.
 SHORT_LIST = 64
+#: Edges up to this number are made into components by one task, 16 bytes each.
+SMALL_EDGES = 100_000
 #: Documents and shingle hashes that one side of a block of the last round has at most, on average.
 BLOCK_DOCS, BLOCK_HASHES = 1024, 1 << 21
 #: Columns of a block that are multiplied at once, and the share of pairs below which a column is added pair by pair.
 COLUMNS, SPARSE = 4096, 1 / 64
-#: Slack of the estimate below the threshold, in standard deviations of a k-value sketch (about 6).
-ESTIMATE_SLACK = 0.30
+#: Probability that sketches of two documents at the threshold have fewer values in common than is asked for.
+MISSED = 1e-9
 #: Bits of the table of wanted document ids.
 FILTER_BITS = 1 << 24
 
@@ -144,39 +146,127 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, k: int, percent: int, name: str) -> DataFrame:
+def common_values(percent: int, k: int) -> list[int]:
+    """How many retained values a document has in common with a similar one, by its number of shingles (the last entry is for more than k).
+
+    A set within the sketch shares percent of itself, less what a partner, larger
+    by no more than the threshold allows, may not retain. Otherwise the k values
+    of the union's sketch are a sample of the union, of which each is common with
+    a probability of the similarity.
+    """
+    t = percent / 100
+    low, below = 0, (1 - t) ** k
+    while below < MISSED and low < k:
+        low += 1
+        below += math.comb(k, low) * t**low * (1 - t) ** (k - low)
+    out = [0]
+    for n in range(1, k + 1):
+        most = n * 100 // percent  # the largest partner
+        least = -(-n * percent // 100)
+        out.append(max(1, least - max(0, most - k), min(least, low) if most > k else 0))
+    return [*out, max(1, low)]
+
+
+def _common(size: str, percent: int, k: int):
+    table = F.array(*[F.lit(x) for x in common_values(percent, k)])
+    return F.element_at(table, (F.least(F.col(size), F.lit(k + 1)) + 1).cast("int"))
+
+
+def inverted_lists(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, doc_id) of every list with two documents or more, (key, lo, hi, n) of each list, and the documents entered.
+
+    reps: doc_id, tag (tells rows of one doc_id apart), n_shingles, sketch. Of a
+    document entered, `held` has those of its retained values that occur again,
+    with their ranks in its sketch, by rank.
+    """
+    entries = reps.select(F.posexplode("sketch").alias("rank", "key"), "doc_id", "tag", "n_shingles")
+    # aggregates are written before they are joined: a join right above an aggregate can't split a hot key
+    often = materialise(entries.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "near-values")
+    held = entries.join(often, "key").groupBy("doc_id", "tag", "n_shingles").agg(F.collect_list(F.struct("often", "key", "rank")).alias("held"))
+    first = F.size("held") - _common("n_shingles", percent, k) + 1
+    held = held.filter(first > 0).withColumn("rare", F.slice(F.array_sort("held"), F.lit(1), first)["key"])
+    held = materialise(held.withColumn("held", F.array_sort(F.transform("held", lambda x: F.struct(x["rank"], x["key"])))), "near-held")
+    rare = materialise(held.select("doc_id", F.explode("rare").alias("key")).distinct(), "near-rare")
+    ends = rare.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    ends = materialise(ends, "near-ends")
+    lists = materialise(rare.join(ends.select("key"), "key"), "near-lists")
+    discard(often, rare)
+    return lists, ends, held
+
+
+def _linked(pairs: DataFrame, held: DataFrame, docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
     """Of candidate pairs (a < b), those whose full shingle sets are similar enough."""
-    s = sketches.select("doc_id", "n_shingles", "sketch")
+    s = held.select("doc_id", "n_shingles", "held")
     both = pairs.join(s.toDF("a", "n_a", "s_a"), "a").join(s.toDF("b", "n_b", "s_b"), "b")
-    both = both.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("s_a", "s_b")) > 0))
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
-    shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    likely = materialise(both.filter(shared >= (percent / 100 - ESTIMATE_SLACK) * F.size(union)).select("a", "b"), f"{name}-likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = sets_of(docs, ids, width)
+    both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    both = both.withColumn("shared", F.filter("s_a", lambda x: F.array_contains("s_b.key", x["key"])))
+    # the i-th common value is preceded in the union by what precedes it in either sketch, common values once
+    of_b = lambda x: F.element_at("s_b", F.array_position("s_b.key", x["key"]).cast("int"))["rank"]
+    sampled = F.size(F.filter(F.transform("shared", lambda x, i: x["rank"] + of_b(x) - i), lambda rank: rank < k))
+    n = F.size("shared")
+    whole = F.greatest("n_a", "n_b") <= k  # then the sketches are the sets
+    likely = both.filter(F.when(whole, 100 * n >= percent * (F.col("n_a") + F.col("n_b") - n)).otherwise(sampled >= common_values(percent, k)[-1]))
+    likely = materialise(likely.select("a", "b").distinct(), "near-likely")
+    sets = sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
     full = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return materialise(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), f"{name}-links")
+    links = materialise(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "near-links")
+    discard(likely)
+    return links
+
 
+def _tops(pairs: Iterable[tuple[int, int]]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """The smallest member of each end's component, and the pairs that joined two."""
+    up: dict[int, int] = {}
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """doc_id and component_id (smallest member) for every end of the edges (a, b).
+    def top(v: int) -> int:
+        up.setdefault(v, v)
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
 
-    Alternating large-star and small-star steps; each round is a written table.
+    joined = []
+    for u, v in pairs:
+        a, b = top(u), top(v)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            joined.append((u, v))
+    return {v: top(v) for v in list(up)}, joined
+
+
+def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, _ = _tops((u, v) for batch in batches for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["doc_id", "component_id"])
+
+
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """doc_id and component_id (smallest member) for every end of the edges (a, b); a written table.
+
+    Up to SMALL_EDGES edges are one task's work. More take alternating large-star
+    and small-star steps; each round is a written table.
     """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = materialise(edges, name)
+    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
+    if edges.count() <= (SMALL_EDGES if small is None else small):
+        found = materialise(edges.repartition(1).mapInArrow(_small_components, "doc_id long, component_id long"), "near-components")
+        discard(edges)
+        return found
     seen = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+            found = edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+            found = materialise(found, "near-components")
+            discard(edges)
+            return found
         seen = state
         both = edges.union(edges.select("v", "u"))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
-        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{name}-large")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = materialise(small, name)
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "near-least")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "near-large")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "near-lower")
+        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        small = materialise(small, "near-edges")
+        discard(edges, least, large, lower)
+        edges = small
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -222,54 +312,70 @@ def _crossed(percent: int):
             n = np.array([len(s) for s in sets])
             linked = (shared > 0) & (100 * shared >= percent * (n[x][:, None] + n[y] - shared)) & (c[x][:, None] != c[y])
             i, j = np.nonzero(linked)
-            up: dict[int, int] = {}
-
-            def top(v: int) -> int:
-                while up.get(v, v) != v:
-                    v = up[v] = up.get(up[v], up[v])
-                return v
-
             # no more edges than components: those that join two within the block
-            for u, v in np.unique(np.stack([c[x][i], c[y][j]], axis=1), axis=0).tolist():
-                a, b = top(u), top(v)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    edges.append((u, v))
+            edges = _tops(np.unique(np.stack([c[x][i], c[y][j]], axis=1), axis=0).tolist())[1]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
 
 
-def _rest(lists: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links between components that share lists over the short length, by all comparisons that are left; None if there are no such lists."""
-    placed = lists.filter(F.col("n") > SHORT_LIST).select("key", "doc_id").join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    mixed = materialise(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "lo"), "near-rest-lists")
+def _crossings(sets: DataFrame, found: DataFrame, percent: int, hubs: bool) -> DataFrame:
+    """Links between components of one area, from documents outside its largest component to all, or to some as hubs.
+
+    sets: area, doc_id, size (class), n, shingles.
+    """
+    placed = sets.select("area", "doc_id", "size", "n").join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
+    placed = materialise(placed, "near-placed")
+    most = placed.groupBy("area", "c").agg(F.countDistinct("doc_id").alias("n")).groupBy("area").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("cs"))
+    most = materialise(most.filter("cs > 1"), "near-main")
+    placed = materialise(placed.join(most, "area"), "near-sides")
+    left = placed.filter("c <> main").withColumn("size", F.explode(F.array([F.col("size") + d for d in (-1, 0, 1)])))
+    right = placed
+    if hubs:  # about one block in each size class of an area
+        every = materialise(placed.groupBy("area", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_HASHES)).alias("every")), "near-hubs")
+        right = placed.join(every, ["area", "size"]).filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("every")) == 0)
+    blocks = lambda df, name: df.groupBy("area", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_HASHES)).alias(name))
+    cuts = materialise(blocks(left, "x").join(blocks(right, "y"), ["area", "size"]), "near-blocks")
+    salt = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(cuts, ["area", "size"]).withColumn("i", salt("x")).withColumn("j", each("y")).withColumn("side", F.lit(0))
+    right = right.join(cuts, ["area", "size"]).withColumn("j", salt("y")).withColumn("i", each("x")).withColumn("side", F.lit(1))
+    names = ["area", "doc_id", "size", "i", "j", "side", "c", "n"]
+    both = left.select(names).unionAll(right.select(names))
+    # a doc_id with several texts has several sets, told apart by their size here and compared all with all
+    both = both.join(sets.select("area", "doc_id", "n", "shingles"), ["area", "doc_id", "n"]).select("area", "size", "i", "j", "side", "c", "shingles")
+    links = materialise(both.groupBy("area", "size", "i", "j").applyInArrow(_crossed(percent), "a long, b long").distinct(), "near-crossed")
+    discard(placed, most, cuts)
+    return links
+
+
+def _rest(lists: DataFrame, ends: DataFrame, found: DataFrame, links: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The components (as `found`, of `links`) after lists over the short length are finished by all comparisons that are left."""
+    placed = lists.join(ends.filter(F.col("n") > SHORT_LIST).select("key"), "key").join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    placed = materialise(placed, "near-long")
+    mixed = materialise(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "lo"), "near-mixed")
     if mixed.isEmpty():
-        return None
-    placed = materialise(placed.join(mixed, "key").select("doc_id", "c", "lo").distinct(), "near-rest")
-    areas = materialise(components(placed.select(F.col("c").alias("a"), F.col("lo").alias("b"))).toDF("c", "area"), "near-areas")
-    members = materialise(placed.select("doc_id", "c").distinct().join(areas, "c"), "near-rest-members")
-    most = members.groupBy("area", "c").agg(F.count("*").alias("n")).groupBy("area").agg(F.max(F.struct("n", "c"))["c"].alias("main"))
-    most = materialise(most, "near-areas-main")
+        discard(placed, mixed)
+        return found
+    members = materialise(placed.join(mixed, "key").select("doc_id", "c", "lo").distinct(), "near-rest")
+    areas = components(members.select(F.col("c").alias("a"), F.col("lo").alias("b"))).toDF("c", "area")
     sets = sets_of(docs, members.select("doc_id"), width)
-    full = members.join(most, "area").join(sets, "doc_id").withColumn("n", F.expr("length(shingles) div 8"))
+    full = members.select("doc_id", "c").distinct().join(areas, "c").join(sets, "doc_id").withColumn("n", F.expr("length(shingles) div 8"))
     # sets that are similar enough have the same or neighbouring size classes
     step = float(np.log(100 / percent) * (1 + 1e-9))
     full = full.withColumn("size", F.floor(F.log("n") / step) if step > 0 else F.col("n"))
-    full = materialise(full.select("area", "size", "n", "doc_id", "c", (F.col("c") == F.col("main")).alias("main"), "shingles"), "near-rest-sets")
-    left = full.filter("not main").withColumn("size", F.explode(F.array([F.col("size") + d for d in (-1, 0, 1)])))
-    blocks = lambda df, name: df.groupBy("area", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_HASHES)).alias(name))
-    cuts = materialise(blocks(left, "x").join(blocks(full, "y"), ["area", "size"]), "near-rest-blocks")
-    salt = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = left.join(cuts, ["area", "size"]).withColumn("i", salt("x")).withColumn("j", every("y")).withColumn("side", F.lit(0))
-    right = full.join(cuts, ["area", "size"]).withColumn("j", salt("y")).withColumn("i", every("x")).withColumn("side", F.lit(1))
-    names = ["area", "size", "i", "j", "side", "c", "shingles"]
-    both = left.select(names).unionAll(right.select(names))
-    return materialise(both.groupBy("area", "size", "i", "j").applyInArrow(_crossed(percent), "a long, b long").distinct(), "near-3-links")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, run: int = RUN) -> DataFrame:
+    full = materialise(full.select("area", "size", "n", "doc_id", "shingles"), "near-rest-sets")
+    for hubs in (True, False):
+        more = _crossings(full, found, percent, hubs)
+        if not more.isEmpty():
+            links, last = links.union(more), found
+            found = components(links)
+            discard(last)
+    discard(placed, mixed, members, full)
+    return found
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Links have 100 * intersection >= percent * union over distinct shingles of
@@ -283,44 +389,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     """
     slim = materialise(sketch(docs, width, k), "near-sketches")
     classes = slim.filter("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1 and class_id is not null")
-    # aggregates are written before they are joined: a join right above an aggregate can't split a hot key
     classes = materialise(classes.select("signature", "class_id"), "near-equal")
-    members = slim.join(classes, "signature", "left").select("doc_id", "n_shingles", "sketch", F.coalesce("class_id", "doc_id").alias("class_id"))
-    members = materialise(members, "near-classes")
-    reps = members.filter("doc_id = class_id and n_shingles > 0")
-
-    values = F.transform(F.sequence(F.lit(1), F.size("sketch") - (run - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(run)]))
-    none = F.array().cast("array<long>")
-    values = F.when(F.size("sketch") >= run, values).otherwise(none)
-    values = F.concat(values, F.when(F.col("n_shingles") <= SHORT_SET, F.transform("sketch", lambda x: F.xxhash64(x))).otherwise(none))
-    lists = reps.select(F.explode(F.array_distinct(values)).alias("key"), "doc_id")
-    ends = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    ends = materialise(ends, "near-ends")
-    lists = materialise(lists.join(ends, "key"), "near-lists")
-    star = lists.select(F.explode(F.array("lo", "hi")).alias("end"), "doc_id").filter("end <> doc_id")
-    pairs = materialise(star.select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct(), "near-pairs")
-    links = _linked(pairs, reps, docs, width, k, percent, "near-1")
-    found = materialise(components(links), "near-components-1")
-
-    # lists that are not of one component yet: pairs between different components
-    placed = lists.select("key", "doc_id", "n").join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("key", "doc_id", "n", "c")
-    member = F.struct("c", "doc_id")
-    mixed = placed.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).filter("lo.c <> hi.c")
-    mixed = materialise(mixed, "near-mixed-ends")
-    placed = materialise(placed.join(mixed, "key"), "near-mixed")
-    short = placed.filter(F.col("n") <= SHORT_LIST)
-    x, y = short.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), short.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    crossed = x.join(y, "key").filter("a < b and ca <> cb").select("a", "b")
-    ends = F.filter(F.array("lo", "hi"), lambda e: e["c"] != F.col("c"))
-    ends = placed.filter(F.col("n") > SHORT_LIST).select("doc_id", F.explode(F.array_distinct(ends)["doc_id"]).alias("end"))
-    ends = ends.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b"))
-    more = materialise(crossed.union(ends).distinct().join(pairs, ["a", "b"], "left_anti"), "near-more")
-    links = links.union(_linked(more, reps, docs, width, k, percent, "near-2"))
-    found = materialise(components(links), "near-components-2")
-    rest = _rest(lists, found, docs, width, percent)
-    if rest is not None:
-        found = components(links.union(rest))
-
+    members = slim.join(classes, "signature", "left").select("doc_id", "n_shingles", "sketch", F.hash("signature").alias("tag"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    members = materialise(members.withColumn("sketch", F.when(F.col("doc_id") == F.col("class_id"), F.col("sketch"))), "near-classes")
+    lists, ends, held = inverted_lists(members.filter("doc_id = class_id and n_shingles > 0"), percent, k)
+
+    # the end of its lists that a document meets most often
+    star = lists.join(ends, "key").select("doc_id", F.explode(F.array("lo", "hi")).alias("end")).filter("end <> doc_id")
+    met = materialise(star.groupBy("doc_id", "end").agg(F.count("*").alias("times")), "near-met")
+    best = met.groupBy("doc_id").agg(F.max(F.struct(F.col("times"), (-F.col("end")).alias("end"))).alias("m")).select("doc_id", (-F.col("m.end")).alias("end"))
+    pairs = materialise(best.select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct(), "near-pairs")
+    links = _linked(pairs, held, docs, width, k, percent)
+    found = components(links)
+
+    # short lists that are not of one component yet: pairs between different components
+    placed = lists.join(ends.filter(F.col("n") <= SHORT_LIST).select("key"), "key").join(found, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    placed = materialise(placed, "near-short")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    both = placed.join(mixed, "key")
+    x, y = both.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), both.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    more = materialise(x.join(y, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-more")
+    if not more.isEmpty():
+        links, last = links.union(_linked(more, held, docs, width, k, percent)), found
+        found = components(links)
+        discard(last)
+    found = _rest(lists, ends, found, links, docs, width, percent)
+    discard(slim, classes, lists, ends, held, met, pairs, placed, more)
     found = found.select(F.col("doc_id").alias("class_id"), "component_id")
     out = members.select("doc_id", "n_shingles", "class_id").join(found, "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
