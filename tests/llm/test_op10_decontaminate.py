@@ -21,7 +21,7 @@ def plain(text, items):
     x, out = tokens(text), []
     for i, item in items:
         y = tokens(item)
-        if i is None or len(y) < d.MIN_TOKENS:
+        if i is None or len(y) < d.SPAN:
             continue
         n = min(len(y), d.WINDOW)
         limit = d.MAX_SUBSTITUTIONS if len(y) >= d.WINDOW else 0
@@ -55,31 +55,51 @@ def corpus(prose, seed):
     return list(enumerate([*texts, None, "", " \n "])), items
 
 
-@pytest.mark.parametrize("block", [8_000_000, 1500])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_all_alignments(spark, prose, monkeypatch, seed, block):
-    monkeypatch.setattr(d, "BLOCK_CHARS", block)
+#: The seeds themselves, and tables of many and of hardly any bits.
+SIZES = [(1 << 20, 1 << 27), (10, 1 << 20), (0, 64)]
+
+
+@pytest.mark.parametrize(("seed", "exact", "bits"), [(1, *SIZES[0]), (2, *SIZES[1]), (1, *SIZES[2])])
+def test_equals_all_alignments(spark, prose, seed, exact, bits):
     rows, items = corpus(prose, seed)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, item_ids string, matched int")
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
-    got = {r["doc_id"]: r for r in d.contamination(docs, bench).collect()}
+    got = {r["doc_id"]: r for r in d.contamination(docs, bench, exact, bits).collect()}
     dirty = set()
     for i, text in rows:
         want = plain(text, items)
         assert got[i]["item_ids"] == want and got[i]["contaminated"] == bool(want)
         dirty |= {i} if want else set()
     assert 20 < len(dirty) < 80
-    kept = d.clean(docs, bench)
+    kept = d.clean(docs, bench, exact, bits)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows if i not in dirty]
 
 
-def test_edges(spark, prose):
-    docs = spark.createDataFrame([(1, prose(50_000, 1)), (2, None), (2, None), (None, prose(30, 2))], "doc_id long, text string")
-    bench = spark.createDataFrame([(5, " ".join(prose(50_000, 1).split()[49_000:49_020]))], "item_id int, text string")
-    assert sorted((str(r["doc_id"]), r["contaminated"]) for r in d.contamination(docs, bench).collect()) == [("1", True), ("2", False), ("2", False), ("None", False)]
+@pytest.mark.parametrize(("exact", "bits"), SIZES)
+def test_edges(spark, prose, exact, bits):
+    """Rows that repeat an id, or have none, keep the result of their own text at any size of the benchmark."""
+    long = prose(50_000, 1)
+    leak = " ".join(long.split()[49_000:49_020])
+    rows = [(1, long), (1, "clean words"), (1, long), (2, None), (2, None), (None, prose(30, 2)), (None, leak), (None, leak), (3, "")]
+    docs = spark.createDataFrame([(*r, b"x", "y") for r in rows], "doc_id long, text string, digest binary, Digest_ string")
+    bench = spark.createDataFrame([(5, leak), (5, leak), (6, leak.upper())], "item_id int, text string")
+    got = sorted((str(r["doc_id"]), r["contaminated"], r["item_ids"], r["matched"]) for r in d.contamination(docs, bench, exact, bits).collect())
+    bad, good = (True, [5, 6], 13), (False, [], 0)
+    assert got == sorted([("1", *bad), ("1", *good), ("1", *bad), ("2", *good), ("2", *good), ("None", *good), ("None", *bad), ("None", *bad), ("3", *good)])
+    kept = d.clean(docs, bench, exact, bits)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["text"] not in (long, leak))
     none = bench.filter("false")
-    assert d.contamination(docs, none).filter("contaminated").count() == 0 and d.clean(docs, none).count() == 4
-    assert d.contamination(docs.filter("false"), bench).count() == 0
+    assert d.contamination(docs, none, exact, bits).filter("contaminated").count() == 0 and d.clean(docs, none, exact, bits).count() == len(rows)
+    assert d.contamination(docs.filter("false"), bench, exact, bits).count() == 0 and d.clean(docs.filter("false"), bench, exact, bits).count() == 0
+
+
+def test_a_phrase_that_all_items_and_documents_have(spark, prose):
+    phrase = prose(9, 1)
+    items = [(i, f"{prose(15, 100 + i)} {phrase} {prose(15, 200 + i)}") for i in range(60)]
+    rows = [(i, f"{prose(20, 300 + i)} {phrase} {prose(20, 400 + i)}") for i in range(60)] + [(99, f"{prose(20, 9)} {items[7][1]}")]
+    got = {r["doc_id"]: r["item_ids"] for r in d.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: plain(t, items) for i, t in rows} and got[99] == [7]
 
 
 def test_seeds_do_not_depend_on_their_place():
