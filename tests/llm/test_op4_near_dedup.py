@@ -208,3 +208,18 @@ def test_passage_that_a_third_of_all_share(spark, prose):
     assert got == plain(rows, 3, 85)
     slim = nd.sketch(docs, 3).selectExpr("doc_id", "hash(signature) as tag", "n_shingles", "sketch")
     assert nd.inverted_lists(slim, 85, nd.SKETCH)[1].agg({"n": "max"}).first()[0] <= 2
+
+
+def test_keep_one(spark, prose):
+    """Ids that are missing or repeated: each row is a document; columns of any name stay."""
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    names = ["doc_id", "text", "kept", "number", "row", "component_id", "a.b"]
+    schema = ", ".join(f"`{x}` {'long' if x == 'doc_id' else 'string'}" for x in names)
+    rows = [(7, a), (3, a + " end"), (None, a), (9, b), (9, b), (9, c), (None, prose(60, 4)), (None, prose(60, 4)), (1, None), (None, ""), (2, "")]
+    docs = spark.createDataFrame([(*r, *names[2:]) for r in rows], schema)
+    out = nd.keep_one(docs, 3, 85)
+    assert out.columns == names
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(*r, *names[2:]) for r in [(3, a + " end"), (9, b), (9, c), (None, prose(60, 4)), (1, None), (None, ""), (2, "")]], key=str)
+    unique = docs.filter("doc_id in (7, 3, 1)")
+    assert sorted(r["doc_id"] for r in nd.keep_one(unique, 3, 85).collect()) == [1, 3] and nd.keep_one(unique, 3, 85).columns == names
+    assert nd.keep_one(docs.filter("false")).count() == 0

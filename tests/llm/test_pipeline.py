@@ -76,3 +76,24 @@ def test_number_of_words(spark):
 def test_mixing_ignores_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", "w w", "k", 1.0)], "doc_id long, source string, text string, key string, cap double")
     assert mix(docs, [1.0]).first()["taken"] == 2
+
+
+def test_stages_keep_columns_and_rows_of_any_kind(spark, prose, tmp_path):
+    """Names that the operators use themselves; ids that are missing or repeated; null and empty texts."""
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first()["text"]
+    texts = [(1, prose(80, 1)), (1, prose(80, 2)), (None, prose(80, 3)), (None, prose(80, 4)), (5, prose(80, 5) + " password=abcdefghijklmnop"), (5, prose(80, 5) + " password=abcdefghijklmnop"), (6, f"{prose(50, 6)} {item}"), (6, prose(80, 7)), (7, None), (8, ""), (None, prose(80, 1))]
+    extra = ["digest", "row", "number", "blob", "_cuts", "cuts", "new", "_gone", "kept", "probability", "item_ids", "key", "skey", "bucket", "target", "rank"]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{x} string" for x in extra)
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "s", len(t or ""), *extra) for k, (i, t) in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(path := str(tmp_path / name.replace(" ", "-")))
+        docs = stage(spark, spark.read.parquet(path), str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "source", "n_chars", *extra], name
+    found = docs.collect()
+    assert all(tuple(r)[4:] == tuple(extra) for r in found)
+    want = [(1, prose(80, 1)), (1, prose(80, 2)), (None, prose(80, 3)), (None, prose(80, 4)), (5, prose(80, 5) + " [SECRET]"), (6, prose(80, 7))]
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(want, key=str)
+    mixed = corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()
+    assert len(mixed) == len(want) and sum(r["taken"] for r in mixed) > 0

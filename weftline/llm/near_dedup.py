@@ -418,3 +418,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     found = found.select(F.col("doc_id").alias("class_id"), "component_id")
     out = members.select("doc_id", "n_shingles", "class_id").join(found, "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+    """The rows of docs, with all their columns, of which each group of near duplicates has one.
+
+    That with the smallest doc_id stays; a row without an id stays only if no row
+    of its group has one. Where ids are missing or repeated, each row is a
+    document of its own, whatever its id, and of rows that tie an arbitrary one
+    stays. Rows without words are near duplicates of nothing and all stay.
+    Columns may have any names. An empty table gives none.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        gone = near_duplicates(docs, width, percent, k).filter("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # written once, so that a row's number is the same wherever it is read
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = materialise(rows, "near-rows")
+    found = near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row").getField("text").alias("text")), width, percent, k)
+    ids = rows.select("number", F.col("row").getField("doc_id").alias("id"))
+    best = found.join(ids, found["doc_id"] == ids["number"]).groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "number"))["number"].alias("number"))
+    return rows.join(best.select("number"), "number", "left_semi").select("row.*")
