@@ -84,8 +84,24 @@ def test_runs(spark, ranges):
 def test_runs_with_null_places(spark, rows):
     df = spark.createDataFrame([(None, 1, "a"), (None, 2, "a"), (1.0, 3, "a"), (2.0, 4, "b")], "p double, i long, k string")
     assert rows(df.transform(a.reduce_runs(["k"], ["p", "i"], [F.count("*").alias("n")])), "run", "k", "n") == [(1, "a", 3), (2, "b", 1)]
-    with pytest.raises(TypeError):
-        df.transform(a.reduce_runs(["k"], ["k"], [F.count("*")]))
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_runs_in_any_order_split_a_frequent_value(spark, ranges):
+    """Words as the first order column, one of which most rows share: ranges are cut by the whole order."""
+    df = spark.range(2000).selectExpr("id", "if(id % 50 = 7, 'b', 'a') as word", "id div 300 as k")
+    seen = []
+    runs = a.reduce_runs(["k"], ["word", "id"], [F.count("*").alias("n"), F.min("id").alias("first")], ranges)
+    got = [(r["run"], r["k"], r["n"], r["first"]) for r in df.repartition(3).transform(runs).orderBy("run").collect()]
+    for i in [*(i for i in range(2000) if i % 50 != 7), *(i for i in range(2000) if i % 50 == 7)]:
+        if not seen or seen[-1][1] != i // 300:
+            seen.append((len(seen) + 1, i // 300, 0, i))
+        run, k, n, first = seen[-1]
+        seen[-1] = run, k, n + 1, first
+    assert got == seen
+
+
+def test_runs_need_an_order():
     with pytest.raises(ValueError):
         a.reduce_runs(["k"], [], [])
 

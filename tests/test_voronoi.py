@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,17 +37,33 @@ def test_cells_tile_the_field(seed, n):
             assert all(a * x + b * y + c <= 1e-6 for x, y in cell)
 
 
-def test_grid_gives_points_nearest_first_and_all():
-    import numpy as np
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 300), st.sampled_from([1e-9, 0.1, 10.0]))
+def test_tree_gives_points_nearest_first_and_all(seed, n, spread):
+    rng = random.Random(seed)
+    points = [(3 + rng.uniform(-spread, spread), 3 + rng.choice([0.0, rng.uniform(-spread, spread)])) for _ in range(n)]
+    tree = v.Tree(np.array([p[0] for p in points]), np.array([p[1] for p in points]))
+    for p in [*points[:5], (0.0, 0.0), (3.0, 9.0)]:
+        found = list(tree.around(*p))
+        gaps = [(x - p[0]) ** 2 + (y - p[1]) ** 2 for x, y in found]
+        assert sorted(found) == sorted(points) and gaps == sorted(gaps)
+
+
+def test_a_dense_place_costs_its_neighbourhood():
+    rng = random.Random(3)
+    points = [(5 + rng.gauss(0, 1e-4), 3 + rng.gauss(0, 1e-4)) for _ in range(20_000)] + [(rng.uniform(0, 10), rng.uniform(0, 6)) for _ in range(50)]
+    tree = v.Tree(np.array([p[0] for p in points]), np.array([p[1] for p in points]))
+    seen = 0
+
+    def counted(p):
+        nonlocal seen
+        for q in tree.around(*p):
+            seen += 1
+            yield q
 
-    rng = random.Random(4)
-    points = [(rng.uniform(0, 10), rng.uniform(0, 6)) for _ in range(200)] + [(3.0, 3.0)] * 3
-    grid = v.Grid(np.array([p[0] for p in points]), np.array([p[1] for p in points]), 10.0, 6.0)
-    for place in range(0, 203, 7):
-        p = grid.x[place], grid.y[place]
-        found = list(grid.around(place))
-        gaps = [math.dist(p, q) for q in found]
-        assert len(found) == 202 and gaps == sorted(gaps)
+    for p in points[:200]:
+        v.fold(FIELD, p, counted(p))
+    assert seen < 200 * 20_000 / 20  # the few at the rim of the dense place have large cells
 
 
 def test_spark_equals_all_pairs(spark):
@@ -68,12 +85,15 @@ def test_few_equal_outside_and_missing_points(spark):
     assert cells([(1, 5.0, 3.0), (2, 50.0, 3.0), (3, None, 1.0)]) == {1: FIELD, 2: []}
     assert cells([]) == {}
     with pytest.raises(ValueError):
-        v.cells(spark.range(3).selectExpr("id", "0D x", "0D y"), 1.0, 1.0, shared=2)
+        v.cells(spark.range(3).selectExpr("id", "double(id) x", "0D y"), 1.0, 1.0, shared=2)
 
 
 def test_tidy_drops_repeated_and_collinear_corners():
     assert v.tidy([(0, 2), (0, 0), (0, 0), (1, 0), (2, 0), (2, 2), (0, 2)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
     assert v.tidy([(0, 2), (2, 2), (2, 0), (0, 0)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    got = v.tidy([(1, 5e-10), (3, 0), (3, 2), (3, 2 + 1e-10), (1, 2)])
+    assert len(got) == 4 and all(math.dist(p, q) < 1e-9 for p, q in zip(got, [(1, 5e-10), (3, 0), (3, 2), (1, 2)], strict=True))
+    assert v.tidy([]) == [] and v.tidy([(1, 1), (1, 1)]) == [(1, 1)] and len(v.tidy([(0, 0), (1, 1), (2, 2)])) == 2
 
 
 def test_text_in_and_out(spark, tmp_path):

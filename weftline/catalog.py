@@ -15,6 +15,7 @@ from .operators import aggregates, joins, sorting, transforms, udf
 from .plans import roads, texts, voronoi
 from .plans.pipeline import Pipeline
 from .sources import io
+from .sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,27 +239,24 @@ def cross_region_total(spark, d):
     return joins.join(_table(spark, d, "region"), _table(spark, d, "nation").transform(aggregates.count_by([], "n")), [])
 
 
-def _two_sides(spark, d):
-    a = _table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", "source", F.col("n_chars").cast("long").alias("value"))
-    return a, _table(spark, d, "labels").filter("doc_id % 2 = 0").select("doc_id", F.col("quality").cast("long").alias("value"), "toxic")
+def _valued(spark, d, table, key, value, *others):
+    return _table(spark, d, table).select(F.col(key).alias("id"), F.col(value).cast("long").alias("value"), *others)
 
 
-_SIDES = "with a as (select doc_id, source, n_chars::bigint as value from documents where doc_id % 3 <> 0), b as (select doc_id, quality::bigint as value, toxic from labels where doc_id % 2 = 0) "
-
-
-@_query(_SIDES + "select a.doc_id, source, a.value as value_1, b.value as value_2, toxic from a left join b on a.doc_id = b.doc_id")
+@_query("select a.doc_id as id, a.n_chars::bigint as value_1, source, b.quality::bigint as value_2, toxic from documents a left join labels b on a.doc_id = b.doc_id")
 def left_documents_labels(spark, d):
-    return joins.join(*_two_sides(spark, d), ["doc_id"], "left")
+    return joins.join(_valued(spark, d, "documents", "doc_id", "n_chars", "source"), _valued(spark, d, "labels", "doc_id", "quality", "toxic"), ["id"], "left")
 
 
-@_query(_SIDES + "select b.doc_id, source, a.value as value_1, b.value as value_2, toxic from a right join b on a.doc_id = b.doc_id")
-def right_documents_labels(spark, d):
-    return joins.join(*_two_sides(spark, d), ["doc_id"], "right")
+@_query("select b.doc_id as id, a.quality::bigint as value_1, toxic, b.n_chars::bigint as value_2, source from labels a right join documents b on a.doc_id = b.doc_id")
+def right_labels_documents(spark, d):
+    return joins.join(_valued(spark, d, "labels", "doc_id", "quality", "toxic"), _valued(spark, d, "documents", "doc_id", "n_chars", "source"), ["id"], "right")
 
 
-@_query(_SIDES + "select coalesce(a.doc_id, b.doc_id) as doc_id, source, case when b.doc_id is not null then b.value else a.value end as value, toxic from a full join b on a.doc_id = b.doc_id")
-def outer_documents_labels(spark, d):
-    return joins.join(*_two_sides(spark, d), ["doc_id"], "outer")
+@_query("select coalesce(a.doc_id, b.vec_id) as id, toxic, case when b.vec_id is not null then b.label else a.quality end::bigint as value from labels a full join embeddings b on a.doc_id = b.vec_id")
+def outer_labels_embeddings(spark, d):
+    """Either side has rows that the other lacks."""
+    return joins.join(_valued(spark, d, "labels", "doc_id", "quality", "toxic"), _valued(spark, d, "embeddings", "vec_id", "label"), ["id"], "outer")
 
 
 _LEFT, _RIGHT = "(values (1, 'a'), (null, 'b'), (3, 'c')) as t(k, x)", "(values (1, 'd'), (null, 'e'), (4, 'f')) as t(k, y)"
@@ -378,6 +376,132 @@ def voronoi_cells(spark, d):
     return io.format_cells(voronoi.cells(_points(spark, d), 100.0, 60.0))
 
 
+# vertices by clipping with the bisectors to all other points, one after the other
+@_query("""
+with recursive
+p as (select vec_id as id, 50 + 100 * embedding[1]::double as x, 30 + 60 * embedding[2]::double as y from embeddings),
+q as (select *, row_number() over (order by id) as n from p where x between 0 and 100 and y between 0 and 60),
+c as (
+  select id, x, y, n, 0::bigint as step, [{'x': 0.0::double, 'y': 0.0::double}, {'x': 100.0::double, 'y': 0.0::double}, {'x': 100.0::double, 'y': 60.0::double}, {'x': 0.0::double, 'y': 60.0::double}] as cell from q
+  union all
+  select c.id, c.x, c.y, c.n, q.n, case when q.n = c.n then cell else (
+    with h as (select list_transform(cell, lambda v: 2 * (q.x - c.x) * v.x + 2 * (q.y - c.y) * v.y + c.x * c.x + c.y * c.y - q.x * q.x - q.y * q.y) as side)
+    select flatten(list_transform(range(1, len(cell) + 1), lambda k: list_concat(
+      case when (side[k] <= 1e-9) <> (side[case when k = 1 then len(cell) else k - 1 end] <= 1e-9) then [{
+        'x': cell[case when k = 1 then len(cell) else k - 1 end].x + side[case when k = 1 then len(cell) else k - 1 end] / (side[case when k = 1 then len(cell) else k - 1 end] - side[k]) * (cell[k].x - cell[case when k = 1 then len(cell) else k - 1 end].x),
+        'y': cell[case when k = 1 then len(cell) else k - 1 end].y + side[case when k = 1 then len(cell) else k - 1 end] / (side[case when k = 1 then len(cell) else k - 1 end] - side[k]) * (cell[k].y - cell[case when k = 1 then len(cell) else k - 1 end].y)}] else [] end,
+      case when side[k] <= 1e-9 then [cell[k]] else [] end))) from h) end
+  from c join q on q.n = c.step + 1),
+v as (select id, unnest(cell) as v, generate_subscripts(cell, 1) as k, len(cell) as size from c where step = (select count(*) from q)),
+s as (select *, first_value(k) over (partition by id order by round(v.y, 8), v.x) as start from v)
+select id, ((k - start + size) % size)::int as k, round(v.x, 6) + 0.0::double as x, round(v.y, 6) + 0.0::double as y from s""")
+def voronoi_vertices(spark, d):
+    cells = voronoi.cells(_points(spark, d), 100.0, 60.0)
+    return cells.select("id", F.posexplode("cell").alias("k", "v")).select("id", "k", *[(F.round(f"v.{c}", 6) + F.lit(0.0)).alias(c) for c in "xy"])
+
+
+# files and command lines, through the shared folder
+
+
+@_query("select conv_id, turn, nullif(role, 'user') as role, text from conversations")
+def json_lines_out_and_in(spark, d):
+    """Missing values are left out of the lines and are null again."""
+    path = shared_path(spark, "catalog-json")
+    io.write_json_lines(_table(spark, d, "conversations").withColumn("role", F.nullif("role", F.lit("user"))), path)
+    return io.json_lines(spark, path, "conv_id long, turn long, role string, text string")
+
+
+def _lines(spark, d):
+    path = shared_path(spark, "catalog-text")
+    _table(spark, d, "part").select(F.concat_ws(";", "p_partkey", "p_size", "p_name")).write.text(path)
+    return path
+
+
+@_query("select p_partkey, p_size, p_name from part")
+def text_lines_columns(spark, d):
+    fields = F.split("value", ";", 3)
+    return io.text_lines(spark, _lines(spark, d), columns={"p_partkey": fields[0].cast("long"), "p_size": fields[1].cast("int"), "p_name": fields[2]})
+
+
+@_query("select p_partkey, p_size, p_name from part")
+def text_lines_parser(spark, d):
+    def parse(line):
+        key, size, name = line.split(";", 2)
+        return {"p_partkey": int(key), "p_size": int(size), "p_name": name}
+
+    return io.text_lines(spark, _lines(spark, d), parse, "p_partkey long, p_size int, p_name string")
+
+
+def _field(spark, d):
+    """A text of width, height, number of points and the points by id, in one file."""
+    path = shared_path(spark, "catalog-field")
+    points = _points(spark, d).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("p"))
+    numbers = F.transform("p", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    points.select(F.array_join(F.concat(F.array(F.lit("100 60"), F.size("p").cast("string")), numbers), "\n")).write.text(path)
+    return path
+
+
+@_query("""
+with p as (select vec_id, 50 + 100 * embedding[1]::double as x, 30 + 60 * embedding[2]::double as y from embeddings)
+select 100.0::double as width, 60.0::double as height, (row_number() over (order by vec_id) - 1)::int as id, x, y from p where x between 0 and 100 and y between 0 and 60""")
+def field_and_points_scan(spark, d):
+    width, height, points = io.field_and_points(spark, _field(spark, d))
+    return points.select(F.lit(width).alias("width"), F.lit(height).alias("height"), "id", "x", "y")
+
+
+def _command(spark, schema, command, **tables):
+    """Rows that a command line writes from tables put into JSON lines."""
+    from . import cli
+
+    arguments = [command]
+    for option, df in tables.items():
+        path = shared_path(spark, f"catalog-{option}")
+        io.write_json_lines(df, path)
+        arguments += ["--" + option.replace("_", "-"), path]
+    out = shared_path(spark, f"catalog-{command}")
+    cli.main([*arguments, "--output", out], spark)
+    return io.json_lines(spark, out, schema)
+
+
+def _plain_documents(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+@_query(ORACLES["word_count"])
+def command_word_count(spark, d):
+    return _command(spark, "text string, count long", "word-count", input=_plain_documents(spark, d))
+
+
+@_query("with documents as (select doc_id::varchar as doc_id, text from documents) select * from (" + ORACLES["tf_idf_top3"] + ")")
+def command_inverted_index(spark, d):
+    return _command(spark, "doc_id string, text string, tf_idf double", "inverted-index", input=_plain_documents(spark, d))
+
+
+@_query("with documents as (select doc_id::varchar as doc_id, text from documents) select * from (" + ORACLES["pmi_top10"] + ")")
+def command_pmi(spark, d):
+    return _command(spark, "doc_id string, text string, pmi double", "pmi", input=_plain_documents(spark, d))
+
+
+@_query(ORACLES["road_speed_given_length"])
+def command_road_speed(spark, d):
+    edges = spark.sql(f"select *, array(0D, 0D) as start, array(0D, 0D) as end from {_EDGES}")
+    out = _command(spark, "weekday string, hour int, speed double", "road-speed", travel_times=spark.sql(f"select * from {_TRIPS}"), edges=edges)
+    return out.withColumn("speed", F.round("speed", 9))
+
+
+@_query("select count(*) as n, 6000.0::double as area from embeddings where 50 + 100 * embedding[1]::double between 0 and 100 and 30 + 60 * embedding[2]::double between 0 and 60")
+def command_voronoi(spark, d):
+    """Number of cells in the command's lines, and the area that their corners enclose."""
+    from . import cli
+
+    out = shared_path(spark, "catalog-voronoi")
+    cli.main(["voronoi", "--input", _field(spark, d), "--output", out], spark)
+    numbers = io.text_lines(spark, out, columns={"v": F.transform(F.split("value", " "), lambda x: x.cast("double"))})
+    corner = lambda k: F.struct(F.get("v", 2 * k + 1).alias("x"), F.get("v", 2 * k + 2).alias("y"))
+    cells = numbers.select(F.transform(F.sequence(F.lit(0), (F.get("v", F.lit(0)) - 1).cast("int")), corner).alias("cell"))
+    return cells.agg(F.count("*").alias("n"), F.round(F.sum(voronoi.area(F.col("cell"))), 4).alias("area"))
+
+
 # arbitrary Python
 
 

@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     for name, about in (("word-count", "words and their counts"), ("inverted-index", "best documents of each word"), ("pmi", "most telling words of each document")):
         p = commands.add_parser(name, help=about)
         p.add_argument("--input", required=True, help="JSON lines with doc_id and text")
-        p.add_argument("--output", default="-", help="folder for JSON lines, - for standard output")
+        p.add_argument("--output", default="-", help="folder for JSON lines, in files whose names are in the rows' order; - for standard output")
     p = commands.add_parser("road-speed", help="mean speed by weekday and hour")
     p.add_argument("--travel-times", required=True)
     p.add_argument("--edges", required=True)
@@ -42,12 +42,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             for row in out.toLocalIterator():
                 print(row[0])
         else:
-            out.coalesce(1).write.mode("overwrite").text(args.output)
+            out.write.mode("overwrite").text(args.output)
         return
     else:
         docs = io.spread(io.json_lines(spark, args.input, "doc_id string, text string"))
         out = {"word-count": texts.word_count, "inverted-index": texts.inverted_index, "pmi": texts.pmi}[args.command](docs)
-    io.write_json_lines(out, args.output, single_file=True)
+    io.write_json_lines(out, args.output)
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import materialise
 from .transforms import Transform
 
 Keys = Sequence[str]
@@ -90,40 +91,24 @@ def term_frequency(keys: Keys, words: str, result: str = "tf", carry: Sequence[s
     return run
 
 
-def _bucket(value: Column, cuts: list[float], first: int = 0) -> Column:
-    """How many of the ascending cuts are not above the value, by a search tree of conditions."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(value < cuts[mid], _bucket(value, cuts[:mid], first)).otherwise(_bucket(value, cuts[mid + 1 :], first + mid + 1))
-
-
 def reduce_runs(keys: Keys, order_by: Sequence[str], aggregates: Sequence[Column], ranges: int | None = None) -> Transform:
     """One row for each maximal run of rows, in the given order, with equal keys (null equals null), and its number from 1.
 
-    Rows are dealt into ranges of the first order column, so no window spans the
-    table: run starts are found inside ranges, and a table of one row per range
-    tells how the ranges join up. The first column must be a number or a time;
-    null comes first. There are as many ranges as shuffle partitions by default.
+    Rows are dealt into ranges of the whole order, so no window spans the table
+    and a value that many rows share is split by the further columns: run starts
+    are found inside ranges, and a table of one row per range tells how the
+    ranges join up. The dealt rows are written into the shared folder, as both
+    steps must see the same ranges. Null comes first. There are as many ranges
+    as shuffle partitions by default.
     """
     if not order_by:
         raise ValueError("runs need an order")
 
     def run(df: DataFrame) -> DataFrame:
-        kind = df.schema[order_by[0]].dataType
-        place = F.col(order_by[0])
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            place = F.unix_micros(place.cast("timestamp"))
-        elif isinstance(kind, T.DateType):
-            place = F.datediff(place, F.lit("1970-01-01").cast("date"))
-        elif not isinstance(kind, T.NumericType):
-            raise TypeError("the first order column must be a number or a time")
-        place = place.cast("double")
         n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = df.select(place.alias("_p")).agg(F.percentile_approx("_p", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-        bucket = _bucket(place, sorted(set(cuts)))
-        rows = df.withColumn("_b", F.when(place.isNull(), -1).otherwise(bucket)).withColumn("_k", F.struct(*keys))
-        inside = Window.partitionBy("_b").orderBy(*order_by)
+        dealt = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order_by])
+        rows = materialise(dealt.withColumn("_b", F.spark_partition_id()), "runs").withColumn("_k", F.struct(*keys))
+        inside = Window.partitionBy("_b").orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
         starts = F.when(F.row_number().over(inside) == 1, None).otherwise((~F.lag("_k").over(inside).eqNullSafe(F.col("_k"))).cast("long"))
         rows = rows.withColumn("_start", starts)
         order = F.struct(*order_by)

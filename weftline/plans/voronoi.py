@@ -2,14 +2,15 @@
 
 A point's bisectors come nearest point first; once the next point is more than
 twice as far away as the cell's farthest corner, no further bisector can cut it.
-Points lie in a grid that is shared with the tasks, so a cell costs about its
-neighbourhood, not the table. The number of points is checked against a bound.
+Distinct points lie in a k-d tree that is shared with the tasks, so a cell costs
+about its neighbourhood, not the table, also where points are dense. The number
+of points is checked against a bound.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-9
-#: Points that are shared with every task at most: 24 bytes each.
+#: Distinct points that are shared with every task at most: 24 bytes each.
 SHARED_POINTS = 5_000_000
 
 Polygon = list[tuple[float, float]]
@@ -43,32 +44,27 @@ def bisector(p: tuple[float, float], q: tuple[float, float]) -> tuple[float, flo
 
 
 def tidy(cell: Polygon) -> Polygon:
-    """Without repeated and collinear corners, counter-clockwise from the lowest, then leftmost corner."""
-    near = lambda p, q: math.dist(p, q) <= EPS
-    cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
-    out: Polygon = []
-    for p in cell:
-        if not out or not near(p, out[-1]):
+    """The corners that turn, counter-clockwise from the lowest, then leftmost.
+
+    A cell is convex, so they are the strict convex hull of its corners: a chain
+    from left to right along the bottom and one back along the top.
+    """
+
+    def chain(corners: Polygon) -> Polygon:
+        out: Polygon = []
+        for p in corners:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= EPS:
+                out.pop()
             out.append(p)
-    while len(out) > 1 and near(out[0], out[-1]):
-        out.pop()
-    k = 0
-    while len(out) > 2 and k < len(out):
-        if abs(cross(out[k - 1], out[k], out[(k + 1) % len(out)])) <= EPS:
-            del out[k]
-            k = 0
-        else:
-            k += 1
-    if not out:
-        return out
-    if sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(out, out[1:] + out[:1], strict=True)) < 0:
-        out.reverse()
-    first = 0
-    for i, p in enumerate(out):
-        low = out[first]
-        if p[1] < low[1] - EPS or abs(p[1] - low[1]) <= EPS and p[0] < low[0] - EPS:
-            first = i
-    return out[first:] + out[:first]
+        return out[:-1]
+
+    corners = sorted(set(cell))
+    hull = chain(corners) + chain(corners[::-1]) if len(corners) > 1 else corners
+    if not hull:
+        return hull
+    lowest = min(y for _, y in hull) + EPS
+    start = hull.index(min(p for p in hull if p[1] <= lowest))
+    return hull[start:] + hull[:start]
 
 
 def fold(cell: Polygon, p: tuple[float, float], others: Iterable[tuple[float, float]]) -> Polygon:
@@ -87,41 +83,42 @@ def fold(cell: Polygon, p: tuple[float, float], others: Iterable[tuple[float, fl
     return cell
 
 
-class Grid:
-    """Points by square; rings of squares around a point give the others, nearest first."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, width: float, height: float):
-        n = max(1, len(x))
-        self.side = max(width, height, 1e-300) / max(1, int(np.sqrt(n / 2)))
-        self.columns, self.lines = max(1, int(np.ceil(width / self.side))), max(1, int(np.ceil(height / self.side)))
-        square = np.clip(y // self.side, 0, self.lines - 1).astype(np.int64) * self.columns + np.clip(x // self.side, 0, self.columns - 1).astype(np.int64)
-        self.order = np.argsort(square, kind="stable")
-        self.x, self.y = x[self.order], y[self.order]
-        self.first = np.searchsorted(square[self.order], np.arange(self.columns * self.lines + 1))
-
-    def around(self, place: int) -> Iterator[tuple[float, float]]:
-        """Other points (by position in this grid), in rings; a ring comes out when no nearer point can follow."""
-        px, py = self.x[place], self.y[place]
-        cx, cy = int(np.clip(px // self.side, 0, self.columns - 1)), int(np.clip(py // self.side, 0, self.lines - 1))
-        held: list[tuple[float, int]] = []
-        for ring in range(max(self.columns, self.lines) + 1):
-            for sy in range(cy - ring, cy + ring + 1):
-                if 0 <= sy < self.lines:
-                    step = 1 if abs(sy - cy) == ring else max(1, 2 * ring)
-                    for sx in range(cx - ring, cx + ring + 1, step):
-                        if 0 <= sx < self.columns:
-                            s = sy * self.columns + sx
-                            for k in range(self.first[s], self.first[s + 1]):
-                                if k != place:
-                                    held.append(((self.x[k] - px) ** 2 + (self.y[k] - py) ** 2, k))
-            held.sort()
-            # points outside the field lie in border squares, so only points inside bound the ring's distance
-            sure = (ring * self.side) ** 2 if 0 <= px < self.columns * self.side and 0 <= py < self.lines * self.side else -1.0
-            while held and held[0][0] <= sure:
-                k = held.pop(0)[1]
-                yield float(self.x[k]), float(self.y[k])
-        for _, k in held:
-            yield float(self.x[k]), float(self.y[k])
+class Tree:
+    """A k-d tree without pointers: a range of points is cut at its middle, by x and y in turn, down to LEAF points."""
+
+    LEAF = 16
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        order, ranges = np.arange(len(x)), [(0, len(x), 0)]
+        self.cut = np.zeros(len(x))  # where the range with this middle is cut
+        while ranges:
+            lo, hi, axis = ranges.pop()
+            if hi - lo > self.LEAF:
+                mid = (lo + hi) // 2
+                part, along = order[lo:hi], y if axis else x
+                order[lo:hi] = part[np.argpartition(along[part], mid - lo)]
+                self.cut[mid] = along[order[mid]]
+                ranges += [(lo, mid, 1 - axis), (mid, hi, 1 - axis)]
+        self.x, self.y = x[order], y[order]
+
+    def around(self, px: float, py: float) -> Iterator[tuple[float, float]]:
+        """All points, nearest to (px, py) first."""
+        # an entry is a point, or a range with the offsets from the place to its half of the plane in x and y
+        heap: list[tuple] = [(0.0, 1, 0, len(self.x), 0, 0.0, 0.0)]
+        while heap:
+            _, is_range, lo, hi, axis, dx, dy = heappop(heap)
+            if not is_range:
+                yield float(self.x[lo]), float(self.y[lo])
+            elif hi - lo <= self.LEAF:
+                for k in range(lo, hi):
+                    heappush(heap, ((self.x[k] - px) ** 2 + (self.y[k] - py) ** 2, 0, k, k, 0, 0.0, 0.0))
+            else:
+                mid = (lo + hi) // 2
+                gap = float(self.cut[mid] - (py if axis else px))
+                for first, last, beyond in ((lo, mid, min(0.0, gap)), (mid, hi, max(0.0, gap))):
+                    # the half that the place is in keeps its offset
+                    x, y = (dx, beyond or dy) if axis else (beyond or dx, dy)
+                    heappush(heap, (x * x + y * y, 1, first, last, 1 - axis, x, y))
 
 
 _CELL = "array<struct<x:double,y:double>>"
@@ -138,17 +135,15 @@ def cells(points: DataFrame, width: float, height: float, shared: int = SHARED_P
     kind = points.schema["id"].dataType.simpleString()
     field = [(0.0, 0.0), (width, 0.0), (width, height), (0.0, height)]
     schema = f"id {kind}, cell {_CELL}"
-    if points.count() > shared:
+    distinct = points.select("x", "y").distinct()
+    if distinct.limit(shared + 1).count() > shared:
         raise ValueError(f"more than {shared} points: cut the field into tiles that overlap")
-    table = points.select("x", "y").toPandas()
-    grid = Grid(table["x"].to_numpy(), table["y"].to_numpy(), width, height)
+    table = distinct.toPandas()
+    tree = Tree(table["x"].to_numpy(), table["y"].to_numpy())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where = {}
-        for k in range(len(grid.x)):
-            where.setdefault((float(grid.x[k]), float(grid.y[k])), k)
         for frame in frames:
-            made = [tidy(fold(field, (x, y), grid.around(where[x, y]))) for x, y in zip(frame["x"], frame["y"], strict=True)]
+            made = [tidy(fold(field, (x, y), tree.around(x, y))) for x, y in zip(frame["x"], frame["y"], strict=True)]
             yield pd.DataFrame({"id": frame["id"], "cell": [[{"x": a, "y": b} for a, b in c] for c in made]})
 
     return points.mapInPandas(run, schema)

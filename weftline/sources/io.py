@@ -67,8 +67,9 @@ def spread(scan: DataFrame) -> DataFrame:
 def write_json_lines(df: DataFrame, path: str, single_file: bool = False, nulls: bool = False) -> None:
     """JSON lines into a folder, or for "-" to standard output in the order of the rows.
 
-    nulls writes missing values as null, else they are left out. single_file
-    keeps the order of the rows in one file; for small results only.
+    nulls writes missing values as null, else they are left out. Sorted rows are
+    in order if the files are read in the order of their names; single_file puts
+    all into one file, by one task, and is for small results only.
     """
     if path == "-":
         for row in df.toLocalIterator():
