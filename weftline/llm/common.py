@@ -1,10 +1,7 @@
-"""What the corpus operators share: table access, shared-folder tables, text chunks."""
+"""What the corpus operators share: table access, tables in the shared folder, text chunks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialise, shared_dir, shared_path
+
+__all__ = ["discard", "materialise", "shared_dir", "shared_path"]
+
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -22,9 +23,6 @@ CHUNK_BYTES = 1 << 18
 #: Rows of an Arrow batch where Spark's default would apply.
 BATCH_ROWS = 1000
 
-_own_dir: str | None = None
-_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,49 +38,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    A temporary folder stands in only where the setting is missing and the
-    master is local, so that no machine-local path is used on a cluster.
-    """
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="weftline-")
-    return f"file://{_own_dir}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    This cuts the lineage and survives lost executors: the files are plain
-    Parquet, not blocks on an executor's disk.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialise() wrote and that no later step reads; others are left alone."""
-    for df in tables:
-        if path := _written.pop(df, None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def chunks(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with the texts of a column (null as empty).
 
