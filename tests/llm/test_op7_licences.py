@@ -1,6 +1,11 @@
 """Licence scans: families named in altered ways, prose with cues, and the native plan."""
 
+import math
+import random
+import textwrap
+
 import pytest
+import regex
 
 from weftline.llm import licences
 
@@ -69,10 +74,78 @@ def test_model_on_altered_copies_it_has_not_seen():
 
 @pytest.mark.parametrize("mark", ["", " * "])
 def test_wrapped_templates(scan, mark):
-    import textwrap
-
     pairs = [(f, s) for f, some in licences.TEMPLATES.items() for s in some for _ in (60, 70, 79, 80)]
     widths = [60, 70, 79, 80] * (len(pairs) // 4)
     texts = [f"{mark}A title\n{mark}\n" + textwrap.fill(s, w, initial_indent=mark, subsequent_indent=mark) + f"\n{mark}\nOther text" for (_, s), w in zip(pairs, widths, strict=True)]
     got = scan(texts)
     assert [(f, w, got[i]["families"]) for i, ((f, _), w) in enumerate(zip(pairs, widths, strict=True)) if got[i]["families"] != f or got[i]["n_paragraphs"] != 1] == []
+
+
+def classified(paragraph, model):
+    """Family and probability of a paragraph by plain arithmetic, or None."""
+    words = licences._words(paragraph)
+    grams = licences._grams(words)
+    z = [float(b) + sum(float(w) for w, g in zip(row, model.grams, strict=True) if g in grams) for b, row in zip(model.bias, model.weights.tolist(), strict=True)]
+    if not grams & set(model.grams):
+        return None
+    family, p = model.classes[z.index(max(z))], 1 / sum(math.exp(v - max(z)) for v in z)
+    if family == licences.UNKNOWN or p < licences.CONFIDENT:
+        return None
+    share = max(len(set(t) & set(words)) / len(set(t)) for t in map(licences._words, licences.TEMPLATES[family]))
+    return (family, p) if share >= licences.CONTAINED else None
+
+
+def plain(text, model):
+    """Every confirmed paragraph of a text, found one by one."""
+    out = []
+    for sentence in regex.split(licences._CUT, text or ""):
+        if not regex.search(licences._CUE_WRAPPED, sentence):
+            continue
+        lines = sentence.split("\n")
+        found = [classified(x, model) for x in lines if regex.search(licences.CUE, x)]
+        found = [x for x in found if x]
+        whole = None
+        if len(lines) > 1:
+            joined = regex.sub(r"(?<=[\p{L}\p{N}])-[\x20\t\r]*\n[^\p{L}\p{N}\n]*", "-", sentence)
+            joined = regex.sub(r"[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}\n]*", " ", joined)
+            whole = classified(joined, model) if regex.search(licences.CUE, joined) else None
+        out += found if whole is None or any(f == whole[0] for f, _ in found) else [whole]
+    return out
+
+
+def test_equals_a_plain_scan(spark, prose):
+    rng, model = random.Random(5), licences.train()
+    every = [s for some in licences.TEMPLATES.values() for s in some]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            s = rng.choice([*every, *licences.OTHER, prose(rng.randint(3, 40), rng.randrange(10**6)), "All rights", "Under the license - version 2"])
+            words = [w for w in s.split(" ") if rng.random() > rng.choice([0, 0, 0.1, 0.3])]
+            mark = rng.choice(["", "", "# ", " * ", "// "])
+            parts.append(textwrap.fill(" ".join(words), rng.choice([20, 40, 72, 500]), initial_indent=mark, subsequent_indent=mark))
+        rows.append((i, rng.choice(["\n", "\n\n", " "]).join(parts)))
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    some = 0
+    for i, text in rows:
+        want = plain(text, model)
+        best = max(((p, f) for f, p in want), default=(None, None))
+        assert got[i]["n_paragraphs"] == len(want) and got[i]["families"] == ",".join(sorted({f for f, _ in want})), text
+        assert got[i]["probability"] == (pytest.approx(best[0], rel=1e-9) if want else None)
+        some += bool(want)
+    assert 75 < some < 150
+
+
+HEADERS = {
+    "mit": 'MIT License\n\nCopyright (c) 2024 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.',
+    "apache-2.0": 'Copyright 2024 Someone\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0',
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY.",
+    "bsd": "Copyright (c) 2024, Someone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+@pytest.mark.parametrize(("mark", "before", "after"), [("", "", ""), ("# ", "", ""), (" * ", "/*\n", "\n */"), ("// ", "", ""), ("-- ", "", "")])
+def test_headers_as_they_stand_in_files(scan, prose, mark, before, after):
+    texts = [f"{before}{textwrap.indent(h, mark, lambda _: True)}{after}\n\n{prose(60, k)}" for k, h in enumerate(HEADERS.values())]
+    assert [got["families"] for got in scan(texts).values()] == list(HEADERS)

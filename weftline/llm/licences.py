@@ -180,7 +180,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or train()
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(_CUE_WRAPPED)).select("doc_id", F.explode(sentences(F.col("text"))).alias("sentence"))
-    held = held.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "at", F.inline(paragraphs(F.col("sentence"))))
+    # written: few paragraphs have a cue, and both the model and the documents read them
+    held = materialise(held.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "at", F.inline(paragraphs(F.col("sentence")))), "licence-paragraphs")
     # written first: a join right above an aggregate can't split a paragraph that many documents have
     known = materialise(classify(held.select("paragraph").distinct(), model), "licences")
     hits = held.join(known, "paragraph")
