@@ -1,10 +1,15 @@
 """The label model on votes drawn from known accuracies, and the scorer on held-out kinds of text."""
 
+import math
+
 import numpy as np
+import pytest
 
 from weftline.llm import weak
 from weftline.llm.tokens import Words
 
+from ..test_catalog import DATA
+
 
 def test_estimates_known_accuracies():
     rng = np.random.default_rng(2)
@@ -22,6 +27,69 @@ def test_estimates_known_accuracies():
     assert (decided == good).mean() > 0.96
 
 
+def plain_estimate(votes, rounds):
+    """Expectation-maximisation over documents one by one, and the penalised log likelihood of each round's model."""
+    rows, k = votes.tolist(), votes.shape[1]
+    good = [0.1 if weak.BAD in r else 0.9 for r in rows]
+    likelihoods = []
+    for _ in range(rounds):
+        counts = [[list(weak.PSEUDO[c]) for _ in range(k)] for c in (0, 1)]
+        for r, g in zip(rows, good, strict=True):
+            for j, v in enumerate(r):
+                counts[0][j][v] += 1 - g
+                counts[1][j][v] += g
+        rates = [[[x / sum(row) for x in row] for row in counts[c]] for c in (0, 1)]
+        prior = sum(good) / len(good)
+        total = sum(weak.PSEUDO[c][v] * math.log(rates[c][j][v]) for c in (0, 1) for j in range(k) for v in range(3))
+        for i, r in enumerate(rows):
+            p = [math.prod([1 - prior, prior][c : c + 1] + [rates[c][j][v] for j, v in enumerate(r)]) for c in (0, 1)]
+            good[i] = p[1] / sum(p)
+            total += math.log(sum(p))
+        likelihoods.append(total)
+    return rates, prior, good, likelihoods
+
+
+def test_equals_estimation_over_single_documents():
+    """On counts of patterns as on the documents themselves; the likelihood never falls."""
+    rng = np.random.default_rng(4)
+    k, n = len(weak.LABELLERS), 400
+    good = rng.random(n) < 0.7
+    votes = np.where(rng.random((n, k)) < 0.8, np.where(good, weak.GOOD, weak.BAD)[:, None], rng.integers(0, 3, (n, k)))
+    votes[:, :5] = np.where(votes[:, :5] == weak.GOOD, weak.ABSTAIN, votes[:, :5])  # as most labellers, which never vote for good
+    pattern = (votes * 3 ** np.arange(k - 1, -1, -1)).sum(axis=1)
+    some, count = np.unique(pattern, return_counts=True)
+    model = weak.estimate(some, count.astype(float), rounds=12)
+    rates, prior, posterior, likelihoods = plain_estimate(votes, 12)
+    assert np.allclose(model.rates, rates) and abs(model.prior - prior) < 1e-12
+    assert np.allclose(model.posterior(pattern), posterior)
+    assert all(b >= a - 1e-9 for a, b in zip(likelihoods, likelihoods[1:], strict=False))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_labels_that_it_has_not_seen(spark):
+    """Without any label, the labelled documents of the test tables are told apart."""
+    folder = str(DATA).replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = weak.judge(docs, *weak.fit(docs)).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").agg({"*": "count", "score": "avg"})
+    score = {r["quality"]: r["avg(score)"] for r in got.collect()}
+    kept = weak.judge(docs, *weak.fit(docs)).filter("kept").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").count()
+    n, kept = {r["quality"]: r["count(1)"] for r in got.collect()}, {r["quality"]: r["count"] for r in kept.collect()}
+    assert score[0] < 0.15 < 0.9 < score[1] and kept[1] >= 0.98 * n[1] and kept.get(0, 0) <= 0.1 * n[0]
+
+
+def test_sample_is_bounded_by_rows(spark, prose):
+    """An id of many rows gives one row to the fit, with the target of its own text."""
+    rows = [(i % 7, prose(60, i) if i % 2 else prose(60, i).upper().replace(" ", "!! ")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    fit, weak.linear.fit = weak.linear.fit, lambda sample, *a, **b: seen.extend(sample.collect()) or fit(sample, *a, **b)
+    try:
+        weak.fit(docs, per_class=50)
+    finally:
+        weak.linear.fit = fit
+    assert 0 < len(seen) <= 7 and all((r["target"] > 0.5) == ("!" not in r["text"]) for r in seen)
+
+
 def test_votes_do_not_depend_on_the_batch(prose):
     texts = [prose(60, 1), "", "a", prose(40, 2).upper().replace(" ", "!! "), "x | " * 40, "same " * 50, "w### " * 30]
     whole = weak.vote(texts, Words(texts))

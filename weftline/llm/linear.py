@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,27 +98,34 @@ def _featurise(repeats: bool):
         for part, texts in chunks(batches, 0):
             found = list(vectors(texts, repeats))
             yield pa.RecordBatch.from_arrays(
-                [part.column(1), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))],
-                names=["target", "buckets", "shares"],
+                [*part.columns[1:], pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))],
+                names=["target", "calibrates", "key", "buckets", "shares"],
             )
 
     return run
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """One row (doc_id, text, target) of each doc_id, so that a bound on ids bounds the rows too."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text", "target")).alias("r")).select("doc_id", "r.text", "r.target")
+
+
 def fit(rows: DataFrame, prior: float | None = None, repeats: bool = False, steps: int = 60, rate: float = 1.0, l2: float = 1e-6) -> Model | None:
     """A calibrated model from rows (text, target in 0..1, fold); the caller bounds the number of rows.
 
     Rows with fold 0 calibrate, the others train. Vectors are made on the
-    executors, and only they reach the driver. None if either class is missing.
-    prior: share of the upper class where the model will be used, if it differs
-    from its share among the rows; the calibration is shifted to it.
+    executors, and only they reach the driver, which orders them by a hash of
+    the text. None if either class is missing. prior: share of the upper class
+    where the model will be used, if it differs from its share among the rows;
+    the calibration is shifted to it.
     """
-    sample = rows.select("text", F.col("target").cast("double").alias("target"), "fold")
+    sample = rows.select("text", F.col("target").cast("double").alias("target"), (F.col("fold") == 0).alias("calibrates"), F.xxhash64("text").alias("key"))
+    got = sample.mapInArrow(_featurise(repeats), "target double, calibrates boolean, key long, buckets array<int>, shares array<float>").toArrow()
+    got = got.take(pa.array(np.lexsort((got.column("key").to_numpy(), got.column("target").to_numpy()))))
     parts = []
-    for part in (sample.filter("fold <> 0"), sample.filter("fold = 0")):
-        got = part.select("text", "target").mapInArrow(_featurise(repeats), "target double, buckets array<int>, shares array<float>").orderBy("target", F.xxhash64("buckets", "shares")).toArrow()
-        index, shares = got.column("buckets").combine_chunks(), got.column("shares").combine_chunks()
-        parts.append((got.column("target").to_numpy(), np.diff(index.offsets.to_numpy()), index.flatten().to_numpy(), shares.flatten().to_numpy().astype(np.float64)))
+    for part in (got.filter(pc.invert(got.column("calibrates"))), got.filter(got.column("calibrates"))):
+        index, shares = part.column("buckets").combine_chunks(), part.column("shares").combine_chunks()
+        parts.append((part.column("target").to_numpy(), pc.list_value_length(index).to_numpy(zero_copy_only=False), index.flatten().to_numpy(), shares.flatten().to_numpy().astype(np.float64)))
     (y, n, index, share), (cy, cn, cindex, cshare) = parts
     if not len(y) or y.min() > 0.5 or y.max() < 0.5:
         return None

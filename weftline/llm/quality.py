@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .linear import Model, buckets, fit
+from .linear import Model, buckets, fit, one_text_each
 from .tokens import Words, mix, windows
 
 #: Labelled rows of each class that the model is fitted on at most, taken in the order of a hash.
@@ -26,12 +26,15 @@ VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model | None:
-    """The model of quality from labels (doc_id, quality 0 or 1); None if a class is missing. Other labels are ignored."""
+    """The model of quality from labels (doc_id, quality 0 or 1); None if a class is missing.
+
+    Other labels are ignored. Of rows that repeat a labelled doc_id one is used.
+    """
     prior = labels.agg(F.avg(F.when(F.col("quality").isin(0, 1), F.col("quality")))).first()[0]  # over all labels
     rank = F.xxhash64("doc_id", F.lit(7))
     picked = [labels.filter(F.col("quality") == q).select("doc_id", F.col("quality").alias("target")).orderBy(rank, "doc_id").limit(per_class) for q in (0, 1)]
     # two classes of per_class rows: small enough to broadcast at any size of the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    rows = one_text_each(docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id"))
     return fit(rows.select("text", "target", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)).alias("fold")), prior)
 
 

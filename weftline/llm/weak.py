@@ -28,6 +28,8 @@ SAMPLE_PER_CLASS = 800
 #: A document is kept at this probability of good quality or more: only likely junk goes.
 KEEP_AT = 0.2
 BAD, ABSTAIN, GOOD = 0, 1, 2
+#: Votes of each kind that a labeller has beforehand in either class: labellers are better than chance.
+PSEUDO = np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])
 
 
 def _shares(texts: list[str], words: Words) -> dict[str, np.ndarray]:
@@ -99,12 +101,17 @@ class LabelModel:
     prior: float
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        """Probability of good quality; abstaining says nothing, so without votes it is the prior."""
+        """Probability of good quality; to abstain is an outcome like the votes, as most labellers only ever vote for bad."""
         if not len(pattern):
             return np.zeros(0)
+        log = self.joint(pattern)
+        return linear.sigmoid(log[1] - log[0])
+
+    def joint(self, pattern: np.ndarray) -> np.ndarray:
+        """Log probability of each class together with each pattern."""
         votes = digits(pattern)
-        log = [np.where(votes == ABSTAIN, 0.0, np.log(self.rates[c][np.arange(votes.shape[1]), votes])).sum(axis=1) for c in (0, 1)]
-        return linear.sigmoid(log[1] - log[0] + np.log(self.prior) - np.log(1 - self.prior))
+        log = [np.log(self.rates[c][np.arange(votes.shape[1]), votes]).sum(axis=1) for c in (0, 1)]
+        return np.array(log) + np.log([1 - self.prior, self.prior])[:, None]
 
     def accuracies(self) -> dict[str, float]:
         """How often each labeller is right when it votes."""
@@ -114,7 +121,10 @@ class LabelModel:
 
 
 def estimate(pattern: np.ndarray, n: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation from pattern counts; it starts from bad for any vote for bad."""
+    """Expectation-maximisation from pattern counts; it starts from bad for any vote for bad.
+
+    Each round raises the likelihood times the prior that PSEUDO stands for.
+    """
     votes, total = digits(pattern), n.sum()
     good = np.where((votes == BAD).any(axis=1), 0.1, 0.9)
     for _ in range(rounds):
@@ -123,8 +133,7 @@ def estimate(pattern: np.ndarray, n: np.ndarray, rounds: int = 200) -> LabelMode
             for v in range(3):
                 rates[c, :, v] = (weight[:, None] * (votes == v)).sum(axis=0)
         prior = float(np.clip((n * good).sum() / max(total, 1), 0.01, 0.99))
-        # a vote against the class's own side is counted as rarer at the start: labellers are better than chance
-        rates += np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])[:, None, :]
+        rates += PSEUDO[:, None, :]
         model = LabelModel(rates / rates.sum(axis=2, keepdims=True), prior)
         last, good = good, model.posterior(pattern)
         if np.abs(last - good).max(initial=0) < 1e-9:
@@ -134,7 +143,7 @@ def estimate(pattern: np.ndarray, n: np.ndarray, rounds: int = 200) -> LabelMode
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vote(texts, Words(texts)))], names=["doc_id", "pattern"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(vote(texts, Words(texts)))], names=["doc_id", "mark", "pattern"])
 
 
 def _judge(labels: LabelModel, model: linear.Model | None):
@@ -154,15 +163,16 @@ def _judge(labels: LabelModel, model: linear.Model | None):
 def fit(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[LabelModel, linear.Model | None]:
     """The label model over all documents, and the scorer fitted on a bounded sample of them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    votes = materialise(docs.select("doc_id", "text").mapInArrow(_votes, f"doc_id {kind}, pattern long"), "weak-votes")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    votes = materialise(marked.mapInArrow(_votes, f"doc_id {kind}, mark long, pattern long"), "weak-votes")
     seen = votes.groupBy("pattern").count().orderBy("pattern").collect()
     pattern, n = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float)
     labels = estimate(pattern, n)
     table = votes.sparkSession.createDataFrame(list(zip(pattern.tolist(), labels.posterior(pattern).tolist(), strict=True)), "pattern long, target double")
-    known = votes.join(F.broadcast(table), "pattern").select("doc_id", "target")  # at most 3^10 patterns
+    known = votes.join(F.broadcast(table), "pattern").select("doc_id", "mark", "target").distinct()  # at most 3^10 patterns
     rank = F.xxhash64("doc_id", F.lit(13))
-    picked = [known.filter(side).orderBy(rank, "doc_id").limit(per_class) for side in ("target < 0.5", "target >= 0.5")]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    picked = [known.filter(side).orderBy(rank, "doc_id", "mark").limit(per_class) for side in ("target < 0.5", "target >= 0.5")]
+    rows = linear.one_text_each(marked.join(F.broadcast(picked[0].union(picked[1])), ["doc_id", "mark"]))
     return labels, linear.fit(rows.select("text", "target", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)).alias("fold")), labels.prior, repeats=True)
 
 
