@@ -32,11 +32,10 @@ def _tokens(text: str) -> str:
 _WORDS = _tokens(f"lower(translate(text, '{_PUNCTUATION}', ''))")
 
 
-def _query(oracle: str | None):
+def _query(oracle: str):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
+        ORACLES[f.__name__] = oracle
         return f
 
     return add
@@ -371,13 +370,8 @@ def voronoi_area(spark, d):
     return cells.select(voronoi.area(F.col("cell")).alias("a")).agg(F.round(F.sum("a"), 6).alias("area"), F.count("*").alias("n"))
 
 
-@_query(None)
-def voronoi_cells(spark, d):
-    return io.format_cells(voronoi.cells(_points(spark, d), 100.0, 60.0))
-
-
 # vertices by clipping with the bisectors to all other points, one after the other
-@_query("""
+_VERTICES = """
 with recursive
 p as (select vec_id as id, 50 + 100 * embedding[1]::double as x, 30 + 60 * embedding[2]::double as y from embeddings),
 q as (select *, row_number() over (order by id) as n from p where x between 0 and 100 and y between 0 and 60),
@@ -394,12 +388,29 @@ c as (
   from c join q on q.n = c.step + 1),
 v as (select id, unnest(cell) as v, generate_subscripts(cell, 1) as k, len(cell) as size from c where step = (select count(*) from q)),
 s as (select *, first_value(k) over (partition by id order by round(v.y, 8), v.x) as start from v)
-select id, ((k - start + size) % size)::int as k, round(v.x, 6) + 0.0::double as x, round(v.y, 6) + 0.0::double as y from s""")
+select id, ((k - start + size) % size)::int as k, round(v.x, 6) + 0.0::double as x, round(v.y, 6) + 0.0::double as y from s"""
+
+
+@_query(_VERTICES)
 def voronoi_vertices(spark, d):
     cells = voronoi.cells(_points(spark, d), 100.0, 60.0)
     return cells.select("id", F.posexplode("cell").alias("k", "v")).select("id", "k", *[(F.round(f"v.{c}", 6) + F.lit(0.0)).alias(c) for c in "xy"])
 
 
+def _corners(numbers):
+    """Corners in the numbers of a cell's line: how many there are, and x and y of each."""
+    corner = lambda k: F.struct(F.get(numbers, 2 * k + 1).alias("x"), F.get(numbers, 2 * k + 2).alias("y"))
+    return F.transform(F.sequence(F.lit(0), (F.get(numbers, F.lit(0)) - 1).cast("int")), corner)
+
+
+@_query(_VERTICES.replace("round(v.x, 6)", "round(round(v.x, 8), 6)").replace("round(v.y, 6)", "round(round(v.y, 8), 6)"))
+def voronoi_cells(spark, d):
+    """Cells as lines of text with eight decimals, read again."""
+    lines = io.format_cells(voronoi.cells(_points(spark, d), 100.0, 60.0))
+    cells = lines.select("id", _corners(F.transform(F.split("line", " "), lambda x: x.cast("double"))).alias("cell"))
+    return cells.select("id", F.posexplode("cell").alias("k", "v")).select("id", "k", *[(F.round(f"v.{c}", 6) + F.lit(0.0)).alias(c) for c in "xy"])
+
+
 # files and command lines, through the shared folder
 
 
@@ -497,8 +508,7 @@ def command_voronoi(spark, d):
     out = shared_path(spark, "catalog-voronoi")
     cli.main(["voronoi", "--input", _field(spark, d), "--output", out], spark)
     numbers = io.text_lines(spark, out, columns={"v": F.transform(F.split("value", " "), lambda x: x.cast("double"))})
-    corner = lambda k: F.struct(F.get("v", 2 * k + 1).alias("x"), F.get("v", 2 * k + 2).alias("y"))
-    cells = numbers.select(F.transform(F.sequence(F.lit(0), (F.get("v", F.lit(0)) - 1).cast("int")), corner).alias("cell"))
+    cells = numbers.select(_corners(F.col("v")).alias("cell"))
     return cells.agg(F.count("*").alias("n"), F.round(F.sum(voronoi.area(F.col("cell"))), 4).alias("area"))
 
 
