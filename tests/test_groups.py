@@ -111,3 +111,14 @@ def test_a_million_rows_with_four_keys(spark, rows):
     assert rows(df.transform(a.count_by(["k"], "n"))) == [(k, 305_000) for k in range(4)]
     assert df.transform(a.top_n(["k"], "v", 5000)).count() == 20_000
     assert math.isclose(df.transform(a.average_by(["k"], "v")).filter("k = 0").first()["v"], (1_219_996) / 2)
+
+
+def test_columns_of_the_operators_own_names(spark, rows):
+    df = spark.createDataFrame([(1, 5, 2.0, 3), (1, 7, 4.0, 4), (2, 6, 1.0, 5)], "_n int, _rank int, _avg double, run int")
+    assert rows(df.transform(a.count_by(["_n"], "n"))) == [(1, 2), (2, 1)]
+    assert rows(df.transform(a.sum_by(["_n"], "run"))) == [(1, 7), (2, 5)]
+    assert rows(df.transform(a.average_by(["_n"], "_avg"))) == [(1, 3.0), (2, 1.0)]
+    assert rows(df.transform(a.top_n(["_n"], "_rank", 1))) == [(1, 7, 4.0, 4), (2, 6, 1.0, 5)]
+    more = df.selectExpr("*", "1 as _part", "2 as _key", "3 as _base", "4 as _start", "5 as _number")
+    got = more.transform(a.reduce_runs(["_n"], ["run"], [F.sum("run").alias("total"), F.sum(F.col("_part") + F.col("_key") + F.col("_base") + F.col("_start") + F.col("_number")).alias("all")]))
+    assert rows(got, "run", "_n", "total", "all") == [(1, 1, 7, 30), (2, 2, 5, 15)]

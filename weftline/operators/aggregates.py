@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import materialise
-from .transforms import Transform
+from .transforms import Transform, unused
 
 Keys = Sequence[str]
 
@@ -21,15 +21,21 @@ def count_by(keys: Keys, column: str = "count") -> Transform:
     """Rows of each group; a key of the same name as the count is replaced by it."""
 
     def run(df: DataFrame) -> DataFrame:
-        out = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 0")
-        return out.select(*[k for k in keys if k != column], F.col("_n").alias(column))
+        n = unused(df, "_n")
+        out = df.groupBy(*keys).agg(F.count("*").alias(n)).filter(F.col(n) > 0)
+        return out.select(*[k for k in keys if k != column], F.col(n).alias(column))
 
     return run
 
 
 def sum_by(keys: Keys, column: str) -> Transform:
     """Sum of a column under its own name; nulls are ignored."""
-    return lambda df: df.groupBy(*keys).agg(F.sum(column).alias(column), F.count("*").alias("_n")).filter("_n > 0").drop("_n")
+
+    def run(df: DataFrame) -> DataFrame:
+        n = unused(df, "_n")
+        return df.groupBy(*keys).agg(F.sum(column).alias(column), F.count("*").alias(n)).filter(F.col(n) > 0).drop(n)
+
+    return run
 
 
 def average_by(keys: Keys, column: str, result: str | None = None) -> Transform:
@@ -41,8 +47,9 @@ def average_by(keys: Keys, column: str, result: str | None = None) -> Transform:
         value = F.col(column)
         if isinstance(df.schema[column].dataType, T.BooleanType):
             value = value.cast("int")
-        out = df.withColumn("_v", value.try_cast("double")).groupBy(*keys).agg(F.avg("_v").alias("_avg"))
-        return out.filter("_avg is not null").select(*keys, F.col("_avg").alias(result or column))
+        mean = unused(df, "_avg")
+        out = df.groupBy(*keys).agg(F.avg(value.try_cast("double")).alias(mean))
+        return out.filter(F.col(mean).isNotNull()).select(*keys, F.col(mean).alias(result or column))
 
     return run
 
@@ -62,7 +69,8 @@ def top_n(keys: Keys, column: str, n: int, ties: Sequence[str | Column] = ()) ->
 def _ranked(df: DataFrame, keys: Keys, order: Sequence[str | Column], n: int) -> DataFrame:
     if not keys:
         return df.orderBy(*order).limit(n)
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
+    rank = unused(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n).drop(rank)
 
 
 def term_frequency(keys: Keys, words: str, result: str = "tf", carry: Sequence[str] = (), order_by: Sequence[str] = ()) -> Transform:
@@ -106,19 +114,20 @@ def reduce_runs(keys: Keys, order_by: Sequence[str], aggregates: Sequence[Column
 
     def run(df: DataFrame) -> DataFrame:
         n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order_by])
-        rows = materialise(dealt.withColumn("_b", F.spark_partition_id()), "runs").withColumn("_k", F.struct(*keys))
-        inside = Window.partitionBy("_b").orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
-        starts = F.when(F.row_number().over(inside) == 1, None).otherwise((~F.lag("_k").over(inside).eqNullSafe(F.col("_k"))).cast("long"))
-        rows = rows.withColumn("_start", starts)
+        part, key, start, base, number = (unused(df, x) for x in ("_part", "_key", "_start", "_base", "_number"))
+        ascending = [F.col(c).asc_nulls_first() for c in order_by]
+        dealt = df.repartitionByRange(n, *ascending)
+        rows = materialise(dealt.withColumn(part, F.spark_partition_id()), "runs").withColumn(key, F.struct(*keys))
+        inside = Window.partitionBy(part).orderBy(*ascending)
+        new = F.when(F.row_number().over(inside) == 1, None).otherwise((~F.lag(key).over(inside).eqNullSafe(F.col(key))).cast("long"))
+        rows = rows.withColumn(start, F.coalesce(new, F.lit(0).cast("long")))
         order = F.struct(*order_by)
-        ends = rows.groupBy("_b").agg(F.min_by("_k", order).alias("_head"), F.max_by("_k", order).alias("_tail"), F.sum(F.coalesce("_start", F.lit(0))).alias("_n"))
-        whole = Window.orderBy("_b")  # one row for each range
-        ends = ends.withColumn("_new", F.when(F.lag("_tail").over(whole).eqNullSafe(F.col("_head")) & (F.row_number().over(whole) > 1), 0).otherwise(1))
-        ends = ends.withColumn("_base", F.sum(F.col("_n") + F.col("_new")).over(whole.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        rows = rows.join(ends.select("_b", "_base"), "_b")
-        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("run", F.col("_base") + F.sum(F.coalesce("_start", F.lit(0))).over(upto))
-        return rows.groupBy("run", *keys).agg(*aggregates)
+        ends = rows.groupBy(part).agg(F.min_by(key, order).alias("head"), F.max_by(key, order).alias("tail"), F.sum(start).alias("n"))
+        whole = Window.orderBy(part)  # one row for each range
+        ends = ends.withColumn("new", F.when(F.lag("tail").over(whole).eqNullSafe(F.col("head")) & (F.row_number().over(whole) > 1), 0).otherwise(1))
+        ends = ends.select(part, (F.sum(F.col("n") + F.col("new")).over(whole.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias(base))
+        rows = rows.join(ends, part)
+        rows = rows.withColumn(number, F.col(base) + F.sum(start).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.groupBy(number, *keys).agg(*aggregates).withColumnRenamed(number, "run")
 
     return run

@@ -15,6 +15,14 @@ from weftline.functions import text
 Transform = Callable[[DataFrame], DataFrame]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, like this one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identity() -> Transform:
     return lambda df: df.select("*")
 
