@@ -5,6 +5,7 @@ import hashlib
 import re
 import struct
 
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def test_every_record_is_found_by_its_identifier(spark, prose):
     assert int(head["Content-Length"]) == len(block)
 
 
+def test_a_frame_is_decompressed_once(spark, prose, monkeypatch):
+    """For all records of a bundle, and not at all if none of its records is wanted."""
+    rows = warc.bundles(pages(spark, prose)).collect()
+    asked = []
+    frame = warc.frame
+    monkeypatch.setattr(warc, "frame", lambda data, k: asked.append(k) or frame(data, k))
+    for row in rows:
+        places = [r.asDict() for r in row["records"]]
+        asked.clear()
+        records = [(p["record_id"], x) for p, x in warc.records_at(bytes(row["data"]), places[::-1])]
+        assert len(records) == len(places) and sorted(asked) == list(range(len(warc.seek_table(bytes(row["data"])))))
+        assert all(f"WARC-Record-ID: {name}\r\n".encode() in x for name, x in records)
+        asked.clear()
+        assert len(list(warc.records_at(bytes(row["data"]), places[-1:]))) == 1 and len(asked) == 1
+
+
+def test_an_index_of_another_bundle_is_an_error(spark, prose):
+    archives = warc.bundles(pages(spark, prose))
+    wrong = archives.withColumn("records", F.transform("records", lambda r: F.struct(F.concat(r["record_id"], F.lit("?")).alias("record_id"), r["frame"].alias("frame"), r["offset"].alias("offset"), r["length"].alias("length"))))
+    with pytest.raises(Exception, match="another record"):
+        warc.read(wrong).count()
+
+
 def test_headers_keep_to_their_lines():
     name, data = warc.record(5, "http://a b\r\nX: y", b"<p>", None, "u")
     head = data.split(b"\r\n\r\n")[0].decode()

@@ -136,27 +136,42 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bundle.row()
 
 
+def records_at(data: bytes, places: list[dict]) -> Iterator[tuple[dict, bytes]]:
+    """The records at these places of a bundle (frame, offset, length), each frame decompressed once."""
+    number, plain = None, b""
+    for place in sorted(places, key=lambda x: (x["frame"], x["offset"])):
+        if place["frame"] != number:
+            number = place["frame"]
+            plain = frame(data, number)
+        yield place, plain[place["offset"] : place["offset"] + place["length"]]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page_of = lambda name: int(name[12:-1]) if re.fullmatch(r"<urn:x-page:-?\d+>", name) else None
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset", "length"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
     for batch in batches:
-        for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = data.as_py()
-            for k in range(len(seek_table(data))):
-                rows = []
-                for at, length, head, block in parse(frame(data, k)):
-                    if head["WARC-Type"] == "warcinfo":
-                        continue
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    if head["WARC-Type"] == "response":
-                        size, mark = len(payload), digest(payload)
-                    else:
-                        size, mark = int(re.search(rb"Content-Length: (\d+)", http)[1]), head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    refers_to = page_of(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-                    rows.append((page_of(head["WARC-Record-ID"]), size, mark, head["WARC-Type"], refers_to, name, k, at, length))
-                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        for name, data, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            rows = []
+            for place, record in records_at(data.as_py(), places.as_py()):
+                ((_, _, head, block),) = parse(record)
+                if head["WARC-Record-ID"] != place["record_id"]:
+                    raise ValueError(f"the index of bundle {name} has another record for {place['record_id']}")
+                if head["WARC-Type"] == "warcinfo":
+                    continue
+                http, _, payload = block.partition(b"\r\n\r\n")
+                if head["WARC-Type"] == "response":
+                    size, mark = len(payload), digest(payload)
+                else:
+                    size, mark = int(re.search(rb"Content-Length: (\d+)", http)[1]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+                refers_to = page_of(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
+                rows.append((page_of(head["WARC-Record-ID"]), size, mark, head["WARC-Type"], refers_to, name, place["frame"], place["offset"], place["length"]))
+            yield batch_of(rows)
 
 
 def bundles(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -178,8 +193,8 @@ def bundles(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """Every record of the bundles (bundle, data): page_id, payload_bytes, payload_digest, record_type, refers_to, and its place."""
-    return archives.select("bundle", "data").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long, length long")
+    """Every record of the bundles (bundle, data, records), found by the index: page_id, payload_bytes, payload_digest, record_type, refers_to, and its place."""
+    return archives.select("bundle", "data", "records").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long, length long")
 
 
 def index(archives: DataFrame) -> DataFrame:
@@ -189,15 +204,17 @@ def index(archives: DataFrame) -> DataFrame:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            plain = frame(row["data"], row["frame"])
-            yield pa.RecordBatch.from_arrays([pa.array([row["record_id"]]), pa.array([plain[row["offset"] : row["offset"] + row["length"]]], pa.binary())], names=["record_id", "record"])
+        for data, places in zip(batch.column(0), batch.column(1), strict=True):
+            for place, record in records_at(data.as_py(), places.as_py()):
+                yield pa.RecordBatch.from_arrays([pa.array([place["record_id"]]), pa.array([record], pa.binary())], names=["record_id", "record"])
 
 
 def fetch(archives: DataFrame, ids: DataFrame) -> DataFrame:
-    """record_id, record (bytes) for ids (record_id): one frame of a bundle is decompressed for each."""
-    wanted = index(archives).join(ids, "record_id", "left_semi")
-    return wanted.join(archives.select("bundle", "data"), "bundle").select("record_id", "data", "frame", "offset", "length").mapInArrow(_fetch, "record_id string, record binary")
+    """record_id, record (bytes) for ids (record_id): of a bundle, only frames with such a record are decompressed, each once."""
+    wanted = index(archives).join(ids.select("record_id").distinct(), "record_id", "left_semi")
+    # no more places than a bundle has records
+    wanted = wanted.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("places"))
+    return archives.select("bundle", "data").join(wanted, "bundle").select("data", "places").mapInArrow(_fetch, "record_id string, record binary")
 
 
 def _export(folder: str):
