@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import lattice_lm as lm
@@ -19,7 +20,7 @@ def tiny(pieces):
     keys = np.array([lm._key(p) for p in pieces], np.uint64)
     order = np.argsort(keys)
     w = np.concatenate([np.arange(1.0, len(pieces) + 1)[order], np.full(256, 0.01), [1.0]])
-    lattice = lm.Lattice(keys[order], np.log(w / w.sum()))
+    lattice = lm.Lattice(keys[order], np.log(w / w.sum()), 5)
     return lattice, {p: float(np.exp(lattice.log_p[list(order).index(i)])) for i, p in enumerate(pieces)}
 
 
@@ -104,6 +105,72 @@ def test_base_scores_equal_plain_counting(spark, prose, monkeypatch, block_docs)
     assert same[0] == same[1]
 
 
+def all_scores(rows, lattice, log):
+    """score and lattice_score of each row: words one by one, the lattice as a sum over all segmentations."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    p = {piece: math.exp(lattice.log_p[k]) for piece, k in log.items()}
+    byte = [math.exp(x) for x in lattice.log_p[len(lattice.keys) : len(lattice.keys) + 256]]
+
+    def lattice_of(word):
+        alpha = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            for i in range(max(0, j - lattice.longest), j):
+                step = p.get(word[i:j])
+                if step is None and j - i == 1:
+                    step = math.prod(byte[b] for b in word[i].encode())
+                alpha[j] += alpha[i] * (step or 0.0)
+        return alpha[-1]
+
+    tokens = [find((t or "").translate(LOWER)) for _, t in rows]
+    c = Counter(x for (i, _), ws in zip(rows, tokens, strict=True) if not held(i) for x in ws)
+    ends = sum(not held(i) for i, _ in rows)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    end = math.exp(lattice.log_p[-1])
+    out = []
+    for ws in tokens:
+        q = [lattice_of("▁" + w) for w in ws] + [end]
+        counts = [c[w] for w in ws] + [ends]
+        out.append((sum(math.log10((k + v * x) / (n + v)) for k, x in zip(counts, q, strict=True)), sum(map(math.log10, q))))
+    return out
+
+
+@needs
+@pytest.mark.parametrize("small", [True, False])
+def test_scores_equal_plain_arithmetic(spark, prose, monkeypatch, small):
+    """Whole scores, with the re-estimated lattice, from blocks of three documents and short rows, and from large ones."""
+    if small:
+        for name, value in (("BLOCK_DOCS", 3), ("ROW_PLACES", 2), ("SENT_PLACES", 5), ("WORD_ROWS", 7)):
+            monkeypatch.setattr(lm, name, value)
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=lm.VOCABULARY)
+    rows = [(i, prose(4 + i % 30, i % 17)) for i in range(40)] + [(100, "Été 𝄞𝄞 unseen"), (101, None), (None, "a a a b")]
+    seen = []
+    monkeypatch.setattr(lm, "_score", lambda lattice, f=lm._score: seen.append(lattice) or f(lattice))
+    got = {(r["doc_id"], r["n_tokens"]): r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    place = {int(k): i for i, k in enumerate(seen[0].keys)}
+    log = {piece: place[key] for piece in map(model.id_to_piece, range(model.get_piece_size())) if (key := int(lm._key(piece))) in place}
+    for (i, text), (score, lattice) in zip(rows, all_scores(rows, seen[0], log), strict=True):
+        r = got[i, len(find(text or "")) + 1]
+        assert r["score"] == pytest.approx(score, rel=1e-6) and r["lattice_score"] == pytest.approx(lattice, rel=1e-6)
+
+
+def test_gathered_words(monkeypatch):
+    """Rows of one word in any number of batches give its sum and all its keys, in rows of a bounded length."""
+    monkeypatch.setattr(lm, "WORD_ROWS", 4)
+    monkeypatch.setattr(lm, "ROW_PLACES", 3)
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        words = sorted(rng.choice(["a", "b", "bb", "c", "é"], rng.integers(1, 40)).tolist())
+        table = pa.table({"word": words, "key": np.arange(len(words)), "count": rng.integers(0, 5, len(words))})
+        got = pa.Table.from_batches(list(lm._gather(iter(table.to_batches(max_chunksize=int(rng.integers(1, 6))))))).to_pylist()
+        assert [r["word"] for r in got if r["head"]] == sorted(set(words)) and max(len(r["keys"]) for r in got) <= 3
+        for w in set(words):
+            mine = [r for r in got if r["word"] == w]
+            rows = [r for r in table.to_pylist() if r["word"] == w]
+            assert {r["c"] for r in mine} == {sum(r["count"] for r in rows)} and [k for r in mine for k in r["keys"]] == [r["key"] for r in rows]
+
+
 @needs
 def test_a_likely_text_scores_higher_than_a_shuffled_one(spark, prose):
     rows = [(i, prose(80, i)) for i in range(40)]

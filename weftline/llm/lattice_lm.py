@@ -1,20 +1,23 @@
 """Language-model scores from a subword lattice.
 
 An existing subword vocabulary spans, for every word, the lattice of all its
-segmentations. Its scores, ranks turned into Zipf weights, start a unigram model
-of pieces; expectation over all distinct words of the training documents
-gives the probabilities. A word's probability is the sum over all
-segmentations, found by a forward recursion in log space, where a word seen in
-training has one more arc from end to end with its count (Witten-Bell weights
-share the mass between this arc and the pieces). A text's probability is the
-product over its words and one end. Pieces never reach across a gap between
-words, so this equals the recursion over the whole text, and each distinct word
-of the corpus is computed once.
+segmentations. No unigram vocabulary is at hand: the pieces are those of a BPE
+model, whose scores are the ranks of its merges. Ranks turned into Zipf weights
+start a unigram model, and expectation over the distinct words of the training
+documents, each counted once, gives the probabilities. A word's probability is
+the sum over all segmentations, found by a forward recursion in log space; a
+text's is the product over its words and one end. Pieces never reach across a gap
+between words, so this equals the recursion over the whole text, and each
+distinct word of the corpus is computed once. That is lattice_score.
+
+For score a word seen in training is one more arc across its lattice, from end to
+end, with its count (Witten-Bell weights share the mass between this arc and the
+pieces).
 
 Documents are read once, in blocks: a block lists its distinct words with their
 counts in training documents, and holds which document has which of its words
-how often. Counts are summed by word, words get their scores, and these return
-to the blocks; texts are never shuffled.
+how often. Words are gathered with their places in the blocks, get their counts
+and scores, and these return to the blocks in arrays; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +38,16 @@ from .common import WORD, chunks, materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block, and documents in it at most.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 60_000
+BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 60_000
 #: Distinct words that a task works on at once, at least if there are more.
 WORD_ROWS = 20_000
-#: Longest piece, in code points.
-MAX_PIECE = 16
+#: Bits of a word's key that hold its place in the block, and that hold the block's number in its task.
+PLACE_BITS, NUMBER_BITS = 24, 13
+#: Places of a word in one row at most, and places that a task sends back to the blocks at once.
+ROW_PLACES, SENT_PLACES = 1 << 16, 1 << 21
 SMOOTH = 0.1
+#: Rounds of expectation; README has held-out figures of more and fewer.
+ROUNDS = 2
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _CELLS = 1 << 18
 _U = np.uint64
@@ -53,10 +61,11 @@ def _char_hash(cp: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lattice:
-    """Pieces by hash, and their log probabilities (natural); bytes have ids after the pieces, the end the last."""
+    """Pieces by hash, their log probabilities (natural), and how many code points the longest has; bytes have ids after the pieces, the end the last."""
 
     keys: np.ndarray
     log_p: np.ndarray
+    longest: int
 
     @staticmethod
     def load(path: str = VOCABULARY) -> Lattice:
@@ -65,12 +74,11 @@ class Lattice:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        ids = [i for i in ids if len(model.id_to_piece(i)) <= MAX_PIECE]
         keys = np.array([_key(model.id_to_piece(i)) for i in ids], _U)
         rank = np.argsort(np.argsort([-model.get_score(i) for i in ids], kind="stable"))
         order = np.argsort(keys)
         weights = np.concatenate([1 / (rank[order] + 10.0), np.full(256, 1e-6), [1e-3]])
-        return Lattice(keys[order], np.log(weights / weights.sum()))
+        return Lattice(keys[order], np.log(weights / weights.sum()), max((len(model.id_to_piece(i)) for i in ids), default=0))
 
     def __post_init__(self):
         self.table = np.zeros(1 << 20, bool)
@@ -91,7 +99,7 @@ class Lattice:
         n = cp.shape[1]
         chars = _char_hash(cp)
         h, ids, logs = np.zeros_like(chars), [], []
-        for size in range(1, min(n, MAX_PIECE) + 1):
+        for size in range(1, min(n, self.longest) + 1):
             h = h[:, : n - size + 1] * _P + chars[:, size - 1 :]
             found = self.find(h ^ (h >> _U(29)))
             log = np.where(found >= 0, self.log_p[found], -np.inf)
@@ -156,8 +164,17 @@ def _key(piece: str) -> np.uint64:
     return _U(h ^ (h >> 29))
 
 
-_SCHEMA = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("count", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("lengths", "posts", "post_docs", "times")]])
-_BLOCKS = "block long, place int, word string, count long, docs array<long>, held array<boolean>, lengths binary, posts binary, post_docs binary, times binary"
+_SCHEMA = pa.schema([("word", pa.string()), ("key", pa.int64()), ("count", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *[(x, pa.binary()) for x in ("lengths", "posts", "post_docs", "times")]])
+_BLOCKS = "word string, key long, count long, block long, docs array<long>, held array<boolean>, lengths binary, posts binary, post_docs binary, times binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
 
 
 class _Block:
@@ -188,17 +205,16 @@ class _Block:
         for k in range(0, size, 20_000):
             part = words[k : k + 20_000]
             m = len(part)
-            front = [pa.array(np.full(m, block)), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(part, pa.string()), pa.array(counts[k : k + m])]
-            yield pa.RecordBatch.from_arrays(front + [pa.nulls(m, f.type) for f in list(_SCHEMA)[4:]], schema=_SCHEMA)
-        narrow = np.uint16 if not len(times) or times.max() < 1 << 16 else np.uint32
-        row = [block, None, None, None, self.docs, self.held, n.tobytes(), np.bincount(word, minlength=size).astype(np.int32).tobytes(), doc.astype(np.uint16).tobytes(), times.astype(narrow).tobytes()]
+            front = [pa.array(part, pa.string()), pa.array((block << PLACE_BITS) + np.arange(k, k + m)), pa.array(counts[k : k + m])]
+            yield pa.RecordBatch.from_arrays(front + [pa.nulls(m, f.type) for f in list(_SCHEMA)[3:]], schema=_SCHEMA)
+        row = [None, None, None, block, self.docs, self.held, n.tobytes(), np.bincount(word, minlength=size).astype(np.int32).tobytes(), doc.astype(np.uint16).tobytes(), _packed(times)]
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents (doc_id, text, held_out)."""
     find = re.compile(WORD).findall
-    base, number, block = TaskContext.get().partitionId() << 32, 0, _Block()
+    base, number, block = TaskContext.get().partitionId() << NUMBER_BITS, 0, _Block()
     for part, texts in chunks(batches):
         for text, doc, held in zip(texts, part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
             if block.add(find(text.translate(_LOWER)), doc, held, len(text)):
@@ -208,23 +224,56 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block.rows(base + number)
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of words joined until they are long enough for vectorised work."""
-    held, rows = [], 0
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they are long enough for vectorised work."""
+    held, n = [], 0
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= WORD_ROWS:
+        n += batch.num_rows
+        if n >= rows:
             yield pa.concat_batches(held)
-            held, rows = [], 0
-    if rows:
+            held, n = [], 0
+    if n:
         yield pa.concat_batches(held)
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by word, one row a word with its count and its keys; more for very many keys, of which the first is the head."""
+    held: list[pa.RecordBatch] = []  # rows of the last word so far, which may go on
+
+    def rows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words, keys = part.column(0), part.column(1)
+        first = np.concatenate([[0], np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)) + 1])
+        counts = np.add.reduceat(part.column(2).to_numpy(), first)
+        n = np.diff(np.append(first, part.num_rows))
+        pieces = -(-n // ROW_PLACES)
+        of = np.repeat(np.arange(len(first)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        offsets = np.append(first[of] + piece * ROW_PLACES, part.num_rows).astype(np.int32)
+        columns = [words.take(pa.array(first[of])), pa.array(counts[of]), pa.array(piece == 0), pa.ListArray.from_arrays(pa.array(offsets), keys)]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "head", "keys"])
+
+    for batch in _together(batches, WORD_ROWS):
+        words = batch.column(0)
+        last = words[len(words) - 1]
+        # where the batch's last word begins
+        other = np.flatnonzero(pc.not_equal(words, last).to_numpy(zero_copy_only=False))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield from rows(pa.concat_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif held and held[0].column(0)[0].as_py() != last.as_py():
+            yield from rows(pa.concat_batches(held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from rows(pa.concat_batches(held))
+
+
 def _expect(lattice: Lattice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.log_p))
-        for batch in _together(batches):
+        for batch in _together(batches, WORD_ROWS):
             total += lattice.expect(batch.column(0).to_pylist(), np.ones(batch.num_rows))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "n"])
@@ -233,9 +282,32 @@ def _expect(lattice: Lattice):
 
 
 def _score(lattice: Lattice):
+    """Counts and scores of words, sent to the blocks in arrays by place."""
+
+    def sent(words: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys, c, log_p = (np.concatenate(x) for x in zip(*words, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, c, log_p = keys[order], c[order], log_p[order]
+        block = keys >> PLACE_BITS
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        place, parts = (keys & ((1 << PLACE_BITS) - 1)).astype(np.uint32), []
+        for a, b in zip(first, np.append(first[1:], len(keys)), strict=True):
+            parts.append((int(block[a]), place[a:b].tobytes(), _packed(c[a:b]), log_p[a:b].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "places", "c", "log_p"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _together(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lattice.score(batch.column(0).to_pylist()) / np.log(10))], names=["word", "c", "log_p"])
+        held, n = [], 0
+        for batch in _together(batches, WORD_ROWS):
+            log_p = (lattice.score(batch.column(0).to_pylist()) / np.log(10)).astype(np.float32)
+            keys = batch.column(2)
+            times = pc.list_value_length(keys).to_numpy(zero_copy_only=False)
+            held.append((keys.flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), times), np.repeat(log_p, times)))
+            n += len(held[-1][0])
+            if n >= SENT_PLACES:
+                yield from sent(held)
+                held, n = [], 0
+        if n:
+            yield from sent(held)
 
     return run
 
@@ -256,13 +328,13 @@ def _documents(n: int, distinct: int, ends: int, log_end: float):
     base = lambda c: np.log10((c + SMOOTH) / (n + SMOOTH * (distinct + 1)))
 
     def run(words: pa.Table, block: pa.Table) -> pa.Table:
-        c, log_p = np.zeros(len(words), np.int64), np.zeros(len(words))
-        place = words.column("place").to_numpy()
-        c[place], log_p[place] = words.column("c").to_numpy(), words.column("log_p").to_numpy()
         row = {name: block.column(name)[0] for name in ("docs", "held", "lengths", "posts", "post_docs", "times")}
         lengths, posts, doc = (np.frombuffer(row[k].as_buffer(), t) for k, t in (("lengths", np.int64), ("posts", np.int32), ("post_docs", np.uint16)))
-        raw = row["times"].as_buffer()
-        times = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(doc) else np.uint32).astype(float)
+        times = _unpacked(row["times"].as_buffer(), len(doc)).astype(float)
+        c, log_p = np.zeros(len(posts), np.int64), np.zeros(len(posts))
+        for places, counts, logs in zip(*[words.column(x) for x in ("places", "c", "log_p")], strict=True):
+            place = np.frombuffer(places.as_buffer(), np.uint32)
+            c[place], log_p[place] = _unpacked(counts.as_buffer(), len(place)), np.frombuffer(logs.as_buffer(), np.float32)
         word = np.repeat(np.arange(len(posts)), posts)
         total = lambda x: np.bincount(doc, x[word] * times, len(lengths))
         return pa.table({
@@ -273,39 +345,42 @@ def _documents(n: int, distinct: int, ends: int, log_end: float):
             "train_tokens": np.full(len(lengths), n, np.int64),
             "base_score": total(base(c)) + base(ends),
             "score": total(whole(c, log_p)) + float(whole(np.array(ends), np.array(log_end))),
+            "lattice_score": total(log_p) + log_end,
         })
 
     return run
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for every row of docs (doc_id, text).
 
     Scores are log10 probabilities: base_score of a smoothed word unigram model,
-    score of the subword lattice; both learn from documents whose crc32(doc_id
+    lattice_score of the subword lattice alone, score of the lattice with an arc
+    for each word of the training. They learn from documents whose crc32(doc_id
     as text) mod 10 is not 0 (a null doc_id counts among these). Words are
     lower-cased in A-Z, and an end follows the last. Null and empty texts are an
     end alone. Repeated rows each count and get a row each. Other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. rounds: how often expectation is
+    repeated. A word's score is kept in single precision.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     blocks = materialise(docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(_collect, _BLOCKS), "lm-blocks")
-    words = blocks.filter("place is not null").select("block", "place", "word", "count")
-    whole = blocks.filter("place is null").select(F.col("block").alias("of"), "docs", "held", "lengths", "posts", "post_docs", "times")
-    counts = materialise(words.groupBy("word").agg(F.sum("count").alias("c")), "lm-counts")
-    n, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    whole = blocks.filter("block is not null").select(F.col("block").alias("of"), "docs", "held", "lengths", "posts", "post_docs", "times")
+    # a word has no more rows than there are blocks
+    words = blocks.filter("block is null").select("word", "key", "count").repartition("word").sortWithinPartitions("word")
+    words = materialise(words.mapInArrow(_gather, "word string, c long, head boolean, keys array<long>"), "lm-words")
+    n, distinct = words.filter("head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     ends = whole.agg(F.coalesce(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + (~x).cast("long"))), F.lit(0))).first()[0]
     n, distinct = n + ends, distinct + int(ends > 0)
 
     lattice = Lattice.load(vocabulary)
     for _ in range(rounds):
-        expected = counts.filter("c > 0").select("word").mapInArrow(_expect(lattice), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        expected = words.filter("head and c > 0").select("word").mapInArrow(_expect(lattice), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         total = np.full(len(lattice.log_p), SMOOTH)
         for piece, k in expected:
             total[piece] += k
         total[-1] += ends
-        lattice = Lattice(lattice.keys, np.log(total / total.sum()))
-    scored = counts.mapInArrow(_score(lattice), "word string, c long, log_p double")
-    placed = words.select("block", "place", "word").join(scored, "word").select("block", "place", "c", "log_p")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("block").cogroup(whole.groupBy("of")).applyInArrow(_documents(n, distinct, ends, float(lattice.log_p[-1] / np.log(10))), out)
+        lattice = Lattice(lattice.keys, np.log(total / total.sum()), lattice.longest)
+    scored = words.select("word", "c", "keys").mapInArrow(_score(lattice), "block long, places binary, c binary, log_p binary")
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
+    return scored.groupBy("block").cogroup(whole.groupBy("of")).applyInArrow(_documents(n, distinct, ends, float(lattice.log_p[-1] / np.log(10))), out)
