@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from weftline.llm import mixing
 from weftline.llm.mixing import MAX_PASSES, mix
 from weftline.llm.queries import ORACLES, QUERIES
 
@@ -52,8 +53,11 @@ def plain(rows, weights):
     return {i: (s, n, sizes[s], target[s], taken[i]) for i, s, n in rows}
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_equals_a_plain_queue(spark, seed):
+@pytest.mark.parametrize(("seed", "rows", "ranges"), [*((i, 200_000, 4096) for i in range(4)), *((i, 1, 2) for i in range(4, 7)), (7, 5, 4)])
+def test_equals_a_plain_queue(spark, monkeypatch, seed, rows, ranges):
+    """The range of the budget's end is sorted at once, or cut again and again."""
+    monkeypatch.setattr(mixing, "SORTED_ROWS", rows)
+    monkeypatch.setattr(mixing, "RANGES", ranges)
     rng = random.Random(seed)
     sources = ["a", "B", "é", None, "z"][: rng.randint(1, 5)]
     rows = [(i, rng.choice([*sources, sources[0], sources[0]]), rng.choice([0, 1, 5, 40, 300])) for i in range(150)]

@@ -8,8 +8,8 @@ A source is queued MAX_PASSES times over, in the same order.
 
 No window spans a source or the whole table: prefix sums run over buckets of the
 shuffle hash first (at most 4096 rows a source) and then inside a
-bucket; the global order is cut into ranges of finish time, of which only the
-one that holds the budget's end is sorted row by row.
+bucket; the global order is cut into ranges of finish time, and the one that
+holds the budget's end is cut again until it has few rows, which are sorted.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from .common import materialise, n_words
 
 MAX_PASSES = 3
 BUCKET_DIGITS = 3  # hexadecimal digits of the hash: 4096 buckets a source
-#: Ranges of finish time per unit of time.
+#: Ranges of finish time per unit of time, a power of two, and of each further cut.
 RANGES = 4096
+#: Rows that are sorted at once at most; finish times of one source are all different, so cutting always gets there.
+SORTED_ROWS = 200_000
 
 
 def source_targets(sizes: DataFrame, weights: list[float]) -> DataFrame:
@@ -73,22 +75,36 @@ def mix(docs: DataFrame, weights: list[float], size: Column | None = None, seed:
     queued = slim.withColumn("upto", F.sum("size").over(inner)).join(plan, ["skey", "bucket"]).withColumn("upto", F.col("before") + F.col("upto"))
     queued = materialise(queued.select("doc_id", "source", "size", "upto", "rank", "source_size", "target"), "mix-queued")
 
-    # finish time of the document in each pass, and the range of time it falls into; the last range is open
+    # finish time of the document in each pass
     times = [(F.lit(p) * F.col("source_size") + F.col("upto")) / F.col("target") for p in range(MAX_PASSES)]
-    items = [F.struct(F.least(F.floor(t * RANGES), F.lit(2 * RANGES)).alias("range"), t.alias("time"), F.col("rank")) for t in times]
+    items = [F.struct(t.alias("time"), F.col("rank")) for t in times]
     real = queued.filter("size > 0 and target > 0").select("size", F.explode(F.array(*items)).alias("item")).select("size", "item.*")
-    budget = queued.agg(F.sum("size")).first()[0] or 0
-    ranges = real.groupBy("range").agg(F.sum("size").alias("n"))
-    ranges = ranges.withColumn("before", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    cut = ranges.filter(F.col("before") + F.col("n") > budget).orderBy("range").limit(1).first()
-    if cut is None:
-        taken = [F.lit(1)] * MAX_PASSES
-    else:
-        running = F.sum("size").over(Window.orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, 0)) + cut["before"]
-        last = real.filter(F.col("range") == cut["range"]).withColumn("running", running).filter(F.col("running") <= budget).agg(F.max(F.struct("time", "rank")).alias("m")).first()["m"]
-        taken = []
-        for item in items:
-            inside = F.lit(False) if last is None else (item["time"] < last["time"]) | ((item["time"] == last["time"]) & (F.col("rank") <= last["rank"]))
-            taken.append(((item["range"] < cut["range"]) | ((item["range"] == cut["range"]) & inside)).cast("int"))
+    last, strict = _budget_end(real, queued.agg(F.sum("size")).first()[0] or 0)
+    taken = [F.lit(1)] * MAX_PASSES
+    if last is not None:
+        within = (lambda item: item["rank"] < last["rank"]) if strict else (lambda item: item["rank"] <= last["rank"])
+        taken = [((item["time"] < last["time"]) | ((item["time"] == last["time"]) & within(item))).cast("int") for item in items]
     passes = F.when((F.col("size") > 0) & (F.col("target") > 0), sum(taken, F.lit(0))).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * passes).alias("taken"))
+
+
+def _budget_end(real: DataFrame, budget: int):
+    """The last of the queued documents (size, time, rank) that the budget holds, and False; or the first that it does not, and True.
+
+    None if it holds all.
+    """
+    before, bucket = 0, F.least(F.floor(F.col("time") * RANGES), F.lit(2 * RANGES))
+    while True:
+        ranges = real.groupBy(bucket.alias("range")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("time").alias("lo"), F.max("time").alias("hi"))
+        upto = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))  # a row for each range
+        cut = ranges.withColumn("upto", upto + F.lit(before)).filter(F.col("upto") > budget).orderBy("range").limit(1).first()
+        if cut is None:
+            return None, False
+        real, before = real.filter(bucket == cut["range"]), cut["upto"] - cut["n"]
+        if cut["rows"] <= SORTED_ROWS or cut["lo"] == cut["hi"]:
+            break
+        bucket = F.floor((F.col("time") - F.lit(cut["lo"])) / F.lit((cut["hi"] - cut["lo"]) / RANGES))
+    running = F.sum("size").over(Window.orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+    place = F.struct("time", "rank")
+    found = real.withColumn("fits", running <= budget).agg(F.max(F.when(F.col("fits"), place)).alias("last"), F.min(place).alias("first")).first()
+    return (found["last"], False) if found["last"] is not None else (found["first"], True)
