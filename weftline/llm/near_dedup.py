@@ -49,8 +49,8 @@ BLOCK_DOCS, BLOCK_HASHES = 1024, 1 << 21
 COLUMNS, SPARSE = 4096, 1 / 64
 #: Probability that sketches of two documents at the threshold have fewer values in common than is asked for.
 MISSED = 1e-9
-#: Bits of the table of wanted document ids.
-FILTER_BITS = 1 << 24
+#: Bits of the table of wanted document ids at most: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
@@ -95,27 +95,26 @@ def sketch(docs: DataFrame, width: int = 3, k: int = SKETCH) -> DataFrame:
 
 
 def _wanted(ids: DataFrame) -> np.ndarray | None:
-    """A bit table of the ids' hashes, of a fixed size for any number of ids; None if there are too many for it to help."""
-    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
-    if ids.count() > FILTER_BITS // 4:
+    """A bit table of the ids' hashes, with 8 to 16 bits for each id; None if the largest table is too small for that."""
+    n = ids.count()
+    if 8 * n > FILTER_BITS:
         return None
-    words = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).collect()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    for at, bits in words:
-        table[at] = bits
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    bits = min(FILTER_BITS, 1 << max(6, (16 * n).bit_length() - 1))
+    words = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("word")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return table.view(np.uint8)
 
 
 def _sets(width: int, wanted: np.ndarray | None):
-    packed = None if wanted is None else np.packbits(wanted)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if packed is None else np.unpackbits(packed).view(bool)
-        if table is not None:
-            batches = (x.filter(pa.array(table[x.column(2).to_numpy()])) for x in batches)
-        for part, texts in chunks(batches):
-            sets = pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), sets], names=["doc_id", "shingles"])
+        for batch in batches:
+            if wanted is not None:
+                slot = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            for part, texts in chunks([batch]):
+                sets = pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), sets], names=["doc_id", "shingles"])
 
     return run
 
@@ -126,8 +125,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     Texts stay where they are: a bit table of the wanted ids goes to the tasks.
     Only if the ids are too many for the table are texts shuffled to the ids.
     """
+    ids = ids.distinct()
     wanted = _wanted(ids)
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")).filter("doc_id is not null")
+    slot = F.lit(0).cast("long") if wanted is None else F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(wanted)))
+    rows = docs.select("doc_id", "text", slot.alias("slot")).filter("doc_id is not null")
     if wanted is None:
         rows = rows.join(ids, "doc_id", "left_semi")
     return rows.mapInArrow(_sets(width, wanted), "doc_id long, shingles binary")
@@ -207,7 +208,7 @@ def _linked(pairs: DataFrame, held: DataFrame, docs: DataFrame, width: int, k: i
     whole = F.greatest("n_a", "n_b") <= k  # then the sketches are the sets
     likely = both.filter(F.when(whole, 100 * n >= percent * (F.col("n_a") + F.col("n_b") - n)).otherwise(sampled >= common_values(percent, k)[-1]))
     likely = materialise(likely.select("a", "b").distinct(), "near-likely")
-    sets = sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
+    sets = sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
     full = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = materialise(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "near-links")
     discard(likely)
