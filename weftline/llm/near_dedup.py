@@ -183,7 +183,8 @@ def inverted_lists(reps: DataFrame, percent: int, k: int) -> tuple[DataFrame, Da
     entries = reps.select(F.posexplode("sketch").alias("rank", "key"), "doc_id", "tag", "n_shingles")
     # aggregates are written before they are joined: a join right above an aggregate can't split a hot key
     often = materialise(entries.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "near-values")
-    held = entries.join(often, "key").groupBy("doc_id", "tag", "n_shingles").agg(F.collect_list(F.struct("often", "key", "rank")).alias("held"))
+    # sets: rows that repeat a document with its text are one
+    held = entries.join(often, "key").groupBy("doc_id", "tag", "n_shingles").agg(F.collect_set(F.struct("often", "key", "rank")).alias("held"))
     first = F.size("held") - _common("n_shingles", percent, k) + 1
     held = held.filter(first > 0).withColumn("rare", F.slice(F.array_sort("held"), F.lit(1), first)["key"])
     held = materialise(held.withColumn("held", F.array_sort(F.transform("held", lambda x: F.struct(x["rank"], x["key"])))), "near-held")
