@@ -95,11 +95,11 @@ def sketch(docs: DataFrame, width: int = 3, k: int = SKETCH) -> DataFrame:
 
 
 def _wanted(ids: DataFrame) -> np.ndarray | None:
-    """A bit table of the ids' hashes, with 8 to 16 bits for each id; None if the largest table is too small for that."""
+    """A bit table of the ids' hashes, with 256 bits or more for each id, or 8 or more in the largest; None if that is too small."""
     n = ids.count()
     if 8 * n > FILTER_BITS:
         return None
-    bits = min(FILTER_BITS, 1 << max(6, (16 * n).bit_length() - 1))
+    bits = min(FILTER_BITS, 1 << max(6, (512 * n).bit_length() - 1))
     words = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("word")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words.column("at").to_numpy()] = words.column("word").to_numpy()
