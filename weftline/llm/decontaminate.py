@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from .common import chunks, discard, materialise
 from .tokens import Words, mix
@@ -140,15 +140,16 @@ def _find(known: Known):
     return run
 
 
-def _rows(known: Known, column: int, touched: bool, name: str):
-    """Whole rows: those without known seeds, or those with them and the digest of their tokens as one more column."""
+def _rows(known: Known, column: int, names: list[str]):
+    """Whole rows: those without known seeds, or if two names are given those with them, and their digest and regions as two more columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, column):
-            digests = pa.array([d for d, _ in _survey(known, texts)], pa.binary())
-            if touched:
-                part = pa.RecordBatch.from_arrays([*part.columns, digests], names=[*part.schema.names, name])
-            yield part.filter(digests.is_valid() if touched else digests.is_null())
+            digests, regions = zip(*_survey(known, texts), strict=True)
+            digests = pa.array(digests, pa.binary())
+            if names:
+                part = pa.RecordBatch.from_arrays([*part.columns, digests, pa.array(regions, pa.list_(_REGION))], names=[*part.schema.names, *names])
+            yield part.filter(digests.is_valid() if names else digests.is_null())
 
     return run
 
@@ -226,17 +227,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, exact: int = EXACT_SEEDS, bits:
     """The rows of docs which are not contaminated, with all their columns, whatever their names.
 
     Nulls, repeated rows and empty tables are as in contamination(). Rows without
-    a known seed are passed on where they lie; only the others are shuffled.
+    a known seed are passed on where they lie; only the others are written and
+    shuffled to their verdicts.
     """
     items, known = _index(benchmark, exact, bits)
-    found = docs.select(F.lit(0).alias("doc_id"), "text").mapInArrow(_find(known), f"doc_id int, digest binary, regions {_REGIONS}")
-    found = materialise(found.filter("digest is not null"), "leak-rows")
-    verdicts = _verdicts(found, items)
-    discard(items, found)
-    column, name = docs.columns.index("text"), "digest"
-    while name.lower() in (c.lower() for c in docs.columns):
-        name += "_"
-    touched = docs.mapInArrow(_rows(known, column, True, name), StructType([*docs.schema.fields, StructField(name, BinaryType())]))
-    touched = touched.join(verdicts.select(F.col("digest").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.mapInArrow(_rows(known, column, False, name), docs.schema).union(touched)
-
+    column, names = docs.columns.index("text"), []
+    for name in ("digest", "regions"):
+        while name.lower() in (c.lower() for c in docs.columns):
+            name += "_"
+        names.append(name)
+    more = docs.sparkSession.range(0).select(F.lit(None).cast("binary").alias(names[0]), F.lit(None).cast(_REGIONS).alias(names[1])).schema
+    rows = materialise(docs.mapInArrow(_rows(known, column, names), StructType([*docs.schema.fields, *more.fields])), "leak-rows")
+    verdicts = _verdicts(rows.select(F.col(names[0]).alias("digest"), F.col(names[1]).alias("regions")), items)
+    discard(items)
+    touched = rows.join(verdicts.select(F.col("digest").alias(names[0])), names[0], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.mapInArrow(_rows(known, column, []), docs.schema).union(touched)
