@@ -20,8 +20,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that one vectorised step handles at most, unless a single text is longer.
 CHUNK_BYTES = 1 << 18
-#: Rows of an Arrow batch where Spark's default would apply.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where Spark's defaults would apply.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,9 @@ def small_batches(spark: SparkSession) -> None:
 
     Batches exist several times over on their way through JVM and worker.
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == "10000":
-        spark.conf.set(setting, str(BATCH_ROWS))
+    for setting, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{setting}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{setting}", str(ours))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
