@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words
+from .common import discard, materialise, n_words
 
 MAX_PASSES = 3
 BUCKET_DIGITS = 3  # hexadecimal digits of the hash: 4096 buckets a source
@@ -74,6 +74,7 @@ def mix(docs: DataFrame, weights: list[float], size: Column | None = None, seed:
     inner = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = slim.withColumn("upto", F.sum("size").over(inner)).join(plan, ["skey", "bucket"]).withColumn("upto", F.col("before") + F.col("upto"))
     queued = materialise(queued.select("doc_id", "source", "size", "upto", "rank", "source_size", "target"), "mix-queued")
+    discard(slim, plan)
 
     # finish time of the document in each pass
     times = [(F.lit(p) * F.col("source_size") + F.col("upto")) / F.col("target") for p in range(MAX_PASSES)]

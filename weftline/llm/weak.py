@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import chunks, materialise
+from .common import chunks, discard, materialise
 from .quality import counts
 from .tokens import Words
 
@@ -173,7 +173,9 @@ def fit(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[LabelModel,
     rank = F.xxhash64("doc_id", F.lit(13))
     picked = [known.filter(side).orderBy(rank, "doc_id", "mark").limit(per_class) for side in ("target < 0.5", "target >= 0.5")]
     rows = linear.one_text_each(marked.join(F.broadcast(picked[0].union(picked[1])), ["doc_id", "mark"]))
-    return labels, linear.fit(rows.select("text", "target", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)).alias("fold")), labels.prior, repeats=True)
+    model = linear.fit(rows.select("text", "target", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)).alias("fold")), labels.prior, repeats=True)
+    discard(votes)
+    return labels, model
 
 
 def judge(docs: DataFrame, labels: LabelModel, model: linear.Model | None) -> DataFrame:
