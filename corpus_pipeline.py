@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, quality, secrets
-from weftline.llm.common import materialise, shared_path, small_batches, table
+from weftline.llm.common import discard, materialise, shared_path, small_batches, table
 from weftline.llm.mixing import mix
 from weftline.llm.near_dedup import keep_one
 
@@ -82,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        last, docs = docs, materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
