@@ -38,6 +38,25 @@ def test_cross(spark, rows):
         join(a, b, [], "left")
 
 
+def test_dealt_join_spreads_one_key_over_tasks(spark, rows):
+    """Few keys with many rows on both sides give more tasks than keys, and the same rows."""
+    a = spark.range(40).selectExpr("if(id % 8 = 0, null, id % 2) as k", "id as x", "'left' as c")
+    b = spark.range(300).selectExpr("if(id % 9 = 0, null, id % 3) as k", "id as y", "'right' as c")
+    got = join(a, b, ["k"], deal=16)
+    assert rows(got) == rows(join(a, b, ["k"]))
+    tasks = got.filter("k = 1").groupBy(F.spark_partition_id().alias("p")).count()
+    assert tasks.count() > 6
+    with pytest.raises(ValueError):
+        join(a, b, ["k"], "left", deal=16)
+
+
+def test_inner_suffixes_has_more_tasks_than_input_files(spark):
+    from weftline import catalog
+
+    got = catalog.QUERIES["inner_suffixes"](spark, "/root/testdata/sf0.01").select("nation", F.spark_partition_id().alias("p")).distinct().groupBy("nation").count()
+    assert got.agg(F.min("count")).first()[0] > 4
+
+
 def test_suffixes_also_without_a_match(spark, rows):
     a = spark.createDataFrame([(1, 5), (2, 6)], "id long, v long")
     b = spark.createDataFrame([(1, 7), (3, 8)], "id long, v long")
