@@ -1,6 +1,7 @@
 """Ready-made pipelines, pipelines over named sources, streaming and time functions."""
 
 import math
+import re
 from datetime import datetime
 
 import pytest
@@ -11,6 +12,7 @@ from weftline.functions.time import hours_between, parse_time, weekday
 from weftline.operators import aggregates, transforms
 from weftline.plans import roads, texts
 from weftline.plans.pipeline import Pipeline
+from weftline.sources import io
 from weftline.streaming.text import word_count as stream_count
 
 DOCS = [(1, "Night, night: the MOON"), (2, "moon? sun sun"), (3, "... !!!"), (4, "the sun")]
@@ -148,3 +150,30 @@ def test_texts_are_cut_into_words_once(spark, tmp_path, plan):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert final.count("Generate explode") == 1 and "ReusedExchange" in final
+
+
+def shuffled_for(df):
+    """Keys of the shuffles that operators asked for."""
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?), \d+\), ENSURE_REQUIREMENTS", df._jdf.queryExecution().executedPlan().toString())]
+
+
+@pytest.mark.parametrize("plan", [texts.inverted_index])
+def test_words_of_documents_are_counted_without_a_shuffle(spark, plan):
+    out = plan(docs(spark))
+    assert "_doc, _word" not in shuffled_for(out)
+
+
+def test_tf_idf_adds_up_rows_of_one_document(spark):
+    got = [tuple(r) for r in texts.inverted_index(docs(spark, [(1, "sun"), (1, "sun moon"), (2, None), (3, "moon")])).collect()]
+    # four rows count as documents, the two of one id as one document of each of its words
+    assert got == [(3, "moon", round(math.log(2), 9)), (1, "moon", round(math.log(2) / 3, 9)), (1, "sun", round(2 / 3 * math.log(4), 9))]
+
+
+def test_tasks_of_dealt_rows_grow_with_the_table(spark, tmp_path):
+    spark.range(200_000).selectExpr("id % 1000 as k", "id as x").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    n, twice = io.parts(table, 0.05), io.parts(table, 0.025)
+    assert n > spark.sparkContext.defaultParallelism and abs(twice - 2 * n) <= 1
+    out = io.deal(table, ["k"], 0.05).groupBy("k", "x").count()
+    assert out.rdd.getNumPartitions() == n  # neither shuffled again nor merged
+    assert io.parts(docs(spark)) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # size unknown

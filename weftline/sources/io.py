@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import sys
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,28 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def parts(df: DataFrame, mb: float = 8) -> int:
+    """How many partitions give each so many MB of df's size as Catalyst estimates it without running anything, one for each core at least.
+
+    The estimate of a scan is the size of its files. Where there is none, as
+    with rows from memory, it is the number of shuffle partitions.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1e15:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(20_000, math.ceil(size / (mb * 1e6))))
+
+
+def deal(df: DataFrame, keys: Sequence[str], mb: float = 8) -> DataFrame:
+    """The rows dealt by keys over partitions of a bounded size, which adaptive execution doesn't merge.
+
+    What is grouped by these and further keys later needs no shuffle: texts are
+    shuffled once instead of their words, and the groups that a task holds at
+    once don't grow with the table.
+    """
+    return df.repartition(parts(df, mb), *keys)
+
+
 def write_json_lines(df: DataFrame, path: str, single_file: bool = False, nulls: bool = False) -> None:
     """JSON lines into a folder, or for "-" to standard output in the order of the rows.
 
