@@ -157,12 +157,18 @@ def shuffled_for(df):
     return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?), \d+\), ENSURE_REQUIREMENTS", df._jdf.queryExecution().executedPlan().toString())]
 
 
-@pytest.mark.parametrize("plan", [texts.inverted_index])
+@pytest.mark.parametrize("plan", [texts.inverted_index, texts.pmi])
 def test_words_of_documents_are_counted_without_a_shuffle(spark, plan):
     out = plan(docs(spark))
     assert "_doc, _word" not in shuffled_for(out)
 
 
+def test_pmi_adds_up_rows_of_one_document(spark):
+    parts = [(1, "hello hello"), (None, "world"), (1, "hello world"), (2, "hello hello hello hello world"), (None, "world"), (1, "world")]
+    whole = [(1, "hello hello hello world world"), (None, "world world"), (2, "hello hello hello hello world")]
+    assert texts.pmi(docs(spark, parts)).collect() == texts.pmi(docs(spark, whole)).collect() != []
+
+
 def test_tf_idf_adds_up_rows_of_one_document(spark):
     got = [tuple(r) for r in texts.inverted_index(docs(spark, [(1, "sun"), (1, "sun moon"), (2, None), (3, "moon")])).collect()]
     # four rows count as documents, the two of one id as one document of each of its words

@@ -60,14 +60,13 @@ def pmi(docs: DataFrame, doc: str = "doc_id", text: str = "text", result: str =
     Only words of more than `longer_than` characters that a document has `least`
     times or more are counted, in all of the sums.
     """
-    counts = docs.select(F.col(doc).alias("_doc"), F.explode(words(F.col(text))).alias("_word")).filter(F.length("_word") > longer_than)
-    counts = counts.groupBy("_doc", "_word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    totals = counts.groupBy(F.col("_doc").alias("_d")).agg(F.sum("_n").alias("_in_doc"))
-    spread = counts.groupBy(F.col("_word").alias("_w")).agg(F.sum("_n").alias("_of_word"))
-    whole = counts.agg(F.sum("_n").alias("_all"))  # one row
-    joined = counts.join(totals, F.col("_doc").eqNullSafe(F.col("_d"))).join(spread, F.col("_word") == F.col("_w")).crossJoin(F.broadcast(whole))
+    counts = _counts(_dealt(docs, doc, text), longer_than).filter(F.col("_n") >= least)
+    counts = counts.repartition(io.parts(docs), "_word")
+    # by document first, which reads all columns, so that both uses of the counts share one exchange and texts are cut into words once
+    whole = counts.groupBy("_doc").agg(F.sum("_n").alias("_in_doc")).agg(F.sum("_in_doc").alias("_all"))  # one row
+    joined = counts.withColumn("_of_word", F.sum("_n").over(Window.partitionBy("_word"))).withColumn("_in_doc", F.sum("_n").over(Window.partitionBy("_doc"))).crossJoin(F.broadcast(whole))
     score = F.round(F.ln((F.col("_n") / F.col("_in_doc")) / (F.col("_of_word") / F.col("_all"))), DIGITS)
     ranked = joined.select("_doc", "_word", score.alias("_score"))
     best = Window.partitionBy("_doc").orderBy(F.desc("_score"), "_word")
     ranked = ranked.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top)
-    return ranked.orderBy("_doc", F.desc("_score"), "_word").select(F.col("_doc").alias(doc), F.col("_word").alias(text), F.col("_score").alias(result))
+    return _ordered(ranked, "_doc", F.desc("_score"), "_word").select(F.col("_doc").alias(doc), F.col("_word").alias(text), F.col("_score").alias(result))
