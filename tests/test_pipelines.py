@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import catalog
 from weftline.functions import geo
 from weftline.functions.time import hours_between, parse_time, weekday
 from weftline.operators import aggregates, transforms
@@ -183,3 +184,9 @@ def test_tasks_of_dealt_rows_grow_with_the_table(spark, tmp_path):
     out = io.deal(table, ["k"], 0.05).groupBy("k", "x").count()
     assert out.rdd.getNumPartitions() == n  # neither shuffled again nor merged
     assert io.parts(docs(spark)) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # size unknown
+
+
+@pytest.mark.parametrize("query", ["pipeline_document_frequency", "distinct_words_per_document"])
+def test_words_are_made_distinct_without_a_shuffle(spark, query):
+    keys = shuffled_for(catalog.QUERIES[query](spark, "/root/testdata/sf0.001"))
+    assert not [k for k in keys if "doc_id" in k]

@@ -204,7 +204,7 @@ def average_skips_invalid(spark, d):
 
 @_query(f"select doc_id, count(distinct word) as n from (select doc_id, unnest({_WORDS}) as word from documents) group by doc_id")
 def distinct_words_per_document(spark, d):
-    docs = _documents(spark, d).select("doc_id", F.explode(texts.words(F.col("text"))).alias("word"))
+    docs = io.deal(_documents(spark, d), ["doc_id"]).select("doc_id", F.explode(texts.words(F.col("text"))).alias("word"))
     return docs.dropDuplicates(["doc_id", "word"]).transform(aggregates.count_by(["doc_id"], "n"))
 
 
@@ -311,7 +311,7 @@ def pipeline_document_frequency(spark, d):
     words = docs.then(transforms.project(["doc_id", "text"]), transforms.strip_punctuation("text"), transforms.lower_case("text"), transforms.split("text"))
     df = words.then(lambda x: x.dropDuplicates(["doc_id", "text"]), aggregates.count_by(["text"], "df"), transforms.keep("df > 5"))
     both = df.join(docs.then(aggregates.count_by([], "docs")), [])
-    return both.run(docs=_documents(spark, d)).withColumnRenamed("text", "word")
+    return both.run(docs=io.deal(_documents(spark, d), ["doc_id"])).withColumnRenamed("text", "word")
 
 
 _ROADS = """
